@@ -87,11 +87,12 @@ _QUOTES = r"""(?s)\A(["'])(.*)\1\z"""
 
 
 def _collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def _null_if_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+    # Unlike when(), nullif evaluates the (costly) text once.
+    return F.nullif(text, F.lit(""))
 
 
 def _unquote(value: Column) -> Column:
@@ -120,9 +121,7 @@ def html_lang(html: Column) -> Column:
 
 
 def _quoted_targets(html: Column) -> Column:
-    return F.filter(
-        F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), lambda value: value != ""
-    )
+    return F.array_remove(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), "")
 
 
 def link_targets(html: Column) -> Column:

@@ -28,8 +28,7 @@ def _authority(url: Column, group: int) -> Column:
 
 def url_host(url: Column) -> Column:
     """Host of an absolute URL in lower case; null if there is none."""
-    host = _authority(url, _HOST_GROUP)
-    return F.when(host != "", host)
+    return F.nullif(_authority(url, _HOST_GROUP), F.lit(""))
 
 
 def canonical_url(url: Column) -> Column:

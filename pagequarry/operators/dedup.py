@@ -1,8 +1,10 @@
-"""Duplicate groups.
+"""Duplicate groups: the key, the kept page and the group size.
 
-Both operators aggregate instead of windowing: the map side reduces each group
-to one row per task before the shuffle, so a group holding a third of all pages
-arrives as one row per map task.
+Pages are aggregated, not ranked in a window: each map task first reduces a
+group to one row, so a group holding a third of all pages reaches the shuffle as
+one row per task. Only fixed-width values are aggregated, which keeps this a
+hash aggregate; carrying the URL of the kept page along would make Spark sort
+both sides of the shuffle instead.
 """
 
 from __future__ import annotations
@@ -11,28 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _alone_if_null(key: str) -> Column:
-    """Second grouping key that keeps pages without a key apart."""
-    return F.when(F.col(key).isNull(), F.col("page_id")).alias("_alone")
+def _groups(parsed: DataFrame, key: str, kept: Column) -> DataFrame:
+    # Pages without a key are not duplicates of each other.
+    alone = F.when(F.col(key).isNull(), F.col("page_id")).alias("alone")
+    return (
+        parsed.groupBy(key, alone)
+        .agg(kept.alias("page_id"), F.count("*").alias("n_pages"))
+        .drop("alone")
+    )
 
 
 def content_groups(parsed: DataFrame) -> DataFrame:
-    """Pages with identical content: hash, kept page (lowest ``page_id``), group size."""
-    return (
-        parsed.groupBy("content_hash", _alone_if_null("content_hash"))
-        .agg(F.min("page_id").alias("page_id"), F.count("*").alias("n_pages"))
-        .drop("_alone")
-    )
+    """Pages with identical content; the lowest ``page_id`` is kept."""
+    return _groups(parsed, "content_hash", F.min("page_id"))
 
 
 def url_groups(parsed: DataFrame) -> DataFrame:
-    """One page per canonical URL, the one with the highest ``page_id``."""
-    return (
-        parsed.groupBy("canonical_url", _alone_if_null("canonical_url"))
-        .agg(
-            F.max("page_id").alias("page_id"),
-            F.max_by("url", "page_id").alias("url"),
-            F.count("*").alias("n_pages"),
-        )
-        .drop("_alone")
-    )
+    """Pages with the same canonical URL; the highest ``page_id`` is kept."""
+    return _groups(parsed, "canonical_url", F.max("page_id"))

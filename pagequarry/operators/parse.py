@@ -51,9 +51,13 @@ def url_canonical(parsed: DataFrame) -> DataFrame:
 
 def page_links(parsed: DataFrame) -> DataFrame:
     """One row per link; ``position`` counts from 0 within the page."""
-    return parsed.select(
-        "page_id", F.posexplode("links").alias("position", "href")
-    ).withColumn("position", F.col("position").cast("bigint"))
+    # The outer explode plus a filter is cheaper than the inner one: for that,
+    # Spark adds a size check of its own, which would read the HTML once more.
+    return (
+        parsed.select("page_id", F.posexplode_outer("links").alias("position", "href"))
+        .filter("position IS NOT NULL")
+        .withColumn("position", F.col("position").cast("bigint"))
+    )
 
 
 def page_text(parsed: DataFrame) -> DataFrame:

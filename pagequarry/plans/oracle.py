@@ -88,12 +88,12 @@ FROM content GROUP BY content_hash""",
     "page_dedup_url": f"""
 WITH {_CANONICAL},
 ranked AS (
-  SELECT canonical_url, page_id, url,
+  SELECT canonical_url, page_id,
          row_number() OVER (PARTITION BY canonical_url ORDER BY page_id DESC) AS place,
          count(*) OVER (PARTITION BY canonical_url) AS n_pages
   FROM canonical
 )
-SELECT canonical_url, page_id, url, n_pages FROM ranked WHERE place = 1""",
+SELECT canonical_url, page_id, n_pages FROM ranked WHERE place = 1""",
     "host_summary": f"""
 WITH {_CLEAN}, {_LINKS}
 SELECT {_HOST} AS host,

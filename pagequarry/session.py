@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    return (
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pagequarry")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -14,5 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()

@@ -1,0 +1,77 @@
+"""The extracted fields against Python's own HTML parser, page by page.
+
+The parser shares no pattern with the library or with the SQL, so this checks
+the extraction itself and not only that two engines read a pattern alike.
+"""
+
+from html.parser import HTMLParser
+
+from pagequarry.functions.html import INLINE_ELEMENTS
+from pagequarry.operators import parse_pages
+from pagequarry.sources import read_pages
+
+AMPERSAND = "\ue000"  # in no test page
+
+
+class Fields(HTMLParser):
+    def __init__(self, html):
+        super().__init__()
+        self.html_lang = None
+        self.links = []
+        self.pieces = []
+        self.elements = {"title": None, "h1": None}
+        self.open = []
+        self.code = None
+        # Entities stay encoded, so the parser must not see them.
+        self.feed(html.replace("&", AMPERSAND))
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag == "html":
+            self.html_lang = attrs.get("lang")
+        if tag == "a" and attrs.get("href") is not None:
+            self.links.append(attrs["href"].replace(AMPERSAND, "&"))
+        if tag in self.elements and self.elements[tag] is None:
+            self.elements[tag] = []
+            self.open.append(tag)
+        if tag in ("script", "style"):
+            self.code = tag
+        elif tag not in INLINE_ELEMENTS:
+            self.text(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            self.open.remove(tag)
+        if tag == self.code:
+            self.code = None
+        elif tag not in INLINE_ELEMENTS:
+            self.text(" ")
+
+    def text(self, piece):
+        if self.code is None:
+            self.pieces.append(piece)
+            for tag in self.open:
+                self.elements[tag].append(piece)
+
+    def handle_data(self, data):
+        self.text(data)
+
+
+def collapse(pieces):
+    return " ".join("".join(pieces or []).replace(AMPERSAND, "&").split())
+
+
+def test_fields_match_html_parser(spark, folder):
+    pages = read_pages(spark, f"{folder}/pages.parquet")
+    html = {row.page_id: row.html for row in pages.collect()}
+    rows = parse_pages(pages).select("page_id", "title", "h1", "lang", "text", "links").collect()
+    assert len(rows) == len(html)
+    assert not any(AMPERSAND in page for page in html.values())
+    for row in rows:
+        fields = Fields(html[row.page_id])
+        assert row.title == (collapse(fields.elements["title"]) or None)
+        assert row.h1 == (collapse(fields.elements["h1"]) or None)
+        assert row.lang == fields.html_lang
+        assert row.text == collapse(fields.pieces)
+        assert row.links == fields.links

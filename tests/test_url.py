@@ -1,0 +1,63 @@
+import pytest
+from pyspark.sql import functions as F
+
+from pagequarry.functions import canonical_url, url_host
+
+
+@pytest.fixture(scope="module")
+def apply(spark):
+    def run(function, value):
+        frame = spark.createDataFrame([(value,)], "url string")
+        return frame.select(function(F.col("url"))).first()[0]
+
+    return run
+
+
+@pytest.mark.parametrize(
+    ("url", "canonical"),
+    [
+        ("http://a.example.org/es/12?utm_source=feed", "a.example.org/es/12"),
+        ("https://www.a.example.org/x/#top", "a.example.org/x/"),
+        ("https://m.a.example.org/X.html", "a.example.org/X.html"),
+        ("HTTPS://WWW.A.Example.ORG/Path", "a.example.org/Path"),
+        ("https://a.example.org/x?page=2&ref=x", "a.example.org/x?page=2"),
+        ("https://a.example.org/x?ref=x&page=10#p", "a.example.org/x?page=10"),
+        ("https://a.example.org/x?mypage=2&page=x", "a.example.org/x"),
+        ("https://a.example.org/x#?page=2", "a.example.org/x"),
+        ("https://a.example.org", "a.example.org/"),
+        ("https://a.example.org?page=3", "a.example.org/?page=3"),
+        ("https://a.example.org/b c?x", "a.example.org/b c"),
+        (" https://a.example.org/x\n", "a.example.org/x"),
+        ("http://a.example.org:80/x", "a.example.org/x"),
+        ("https://a.example.org:443/x", "a.example.org/x"),
+        ("https://a.example.org:/x", "a.example.org/x"),
+        ("http://a.example.org:443/x", "a.example.org:443/x"),
+        ("https://user:pw@a.example.org/x", "a.example.org/x"),
+        ("http://[2001:DB8::1]:8080/x", "[2001:db8::1]:8080/x"),
+        ("https://www.com/x", "www.com/x"),
+        ("https://m.com/x", "m.com/x"),
+        ("https://a.example.org//x//y", "a.example.org//x//y"),
+        ("/relative?page=2", "/relative?page=2"),
+        ("mailto:x@example.org", "mailto:x@example.org"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_canonical_url(apply, url, canonical):
+    assert apply(canonical_url, url) == canonical
+
+
+@pytest.mark.parametrize(
+    ("url", "host"),
+    [
+        ("https://WWW.a.example.org:8080/x", "www.a.example.org"),
+        ("https://a.example.org?x=//b", "a.example.org"),
+        ("https://a@b.example.org/@c", "b.example.org"),
+        ("http://[::1]/x", "[::1]"),
+        ("/no/host", None),
+        ("http:///x", None),
+        (None, None),
+    ],
+)
+def test_host(apply, url, host):
+    assert apply(url_host, url) == host
