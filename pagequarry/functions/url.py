@@ -10,7 +10,7 @@ _AUTHORITY = (
 )
 _SCHEME_GROUP, _HOST_GROUP, _PORT_GROUP = 1, 2, 3
 _PATH = r"\A[^/?#]*//[^/?#]*([^?#]*)"
-_PAGE = r"\A[^?#]*\?(?:[^#]*?&)?(page=[0-9]+)(?:[&#]|\z)"
+_PAGE = r"\A[^?#]*\?(?:[^#]*?&)??(page=[0-9]+)(?:[&#]|\z)"
 # "www." and "m." are dropped only in front of a name that still has a dot.
 _MIRROR_PREFIX = r"\A(?:www|m)\.([^.]+\..+)\z"
 

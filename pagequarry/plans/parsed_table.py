@@ -8,8 +8,8 @@ from pagequarry.operators import parse_pages
 
 
 def save_parsed(pages: DataFrame, path: str) -> None:
-    """Parse ``pages`` in one scan and write the result as parquet, replacing ``path``."""
-    parse_pages(pages).write.mode("overwrite").parquet(path)
+    """Parse ``pages`` in one scan and write the result as parquet to a new ``path``."""
+    parse_pages(pages).write.parquet(path)
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ executor only repeats its tasks, and the file sink commits each batch once.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,11 +15,13 @@ from pagequarry.operators import parse_pages
 from pagequarry.sources import stream_pages
 
 
-def _checkpoint_location(spark: SparkSession) -> str:
+def _checkpoint_location(spark: SparkSession, parsed_path: str) -> str:
+    """A folder of its own for each parsed table, under the cluster's shared one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         raise ValueError("set spark.checkpoint.dir or pass checkpoint")
-    return f"{shared.rstrip('/')}/pagequarry/ingest"
+    table = hashlib.sha256(parsed_path.rstrip("/").encode()).hexdigest()
+    return f"{shared.rstrip('/')}/pagequarry/ingest/{table}"
 
 
 def start_ingest(
@@ -32,7 +36,7 @@ def start_ingest(
         parse_pages(stream_pages(spark, folder, files_per_batch))
         .writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint or _checkpoint_location(spark))
+        .option("checkpointLocation", checkpoint or _checkpoint_location(spark, parsed_path))
         .trigger(availableNow=True)
         .start(parsed_path)
     )

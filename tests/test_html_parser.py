@@ -4,11 +4,12 @@ The parser shares no pattern with the library or with the SQL, so this checks
 the extraction itself and not only that two engines read a pattern alike.
 """
 
+import random
 from html.parser import HTMLParser
 
 from pagequarry.functions.html import INLINE_ELEMENTS
 from pagequarry.operators import parse_pages
-from pagequarry.sources import read_pages
+from pagequarry.sources import PAGES_SCHEMA, read_pages
 
 AMPERSAND = "\ue000"  # in no test page
 
@@ -62,16 +63,49 @@ def collapse(pieces):
     return " ".join("".join(pieces or []).replace(AMPERSAND, "&").split())
 
 
+def assert_match(parsed, html):
+    rows = parsed.select("page_id", "title", "h1", "lang", "text", "links", "n_links").collect()
+    assert len(rows) == len(html)
+    for row in rows:
+        page = html[row.page_id]
+        fields = Fields(page)
+        assert row.title == (collapse(fields.elements["title"]) or None), page
+        assert row.h1 == (collapse(fields.elements["h1"]) or None), page
+        assert row.lang == fields.html_lang, page
+        assert row.text == collapse(fields.pieces), page
+        assert row.links == fields.links, page
+        assert row.n_links == len(fields.links), page
+
+
 def test_fields_match_html_parser(spark, folder):
     pages = read_pages(spark, f"{folder}/pages.parquet")
     html = {row.page_id: row.html for row in pages.collect()}
-    rows = parse_pages(pages).select("page_id", "title", "h1", "lang", "text", "links").collect()
-    assert len(rows) == len(html)
     assert not any(AMPERSAND in page for page in html.values())
-    for row in rows:
-        fields = Fields(html[row.page_id])
-        assert row.title == (collapse(fields.elements["title"]) or None)
-        assert row.h1 == (collapse(fields.elements["h1"]) or None)
-        assert row.lang == fields.html_lang
-        assert row.text == collapse(fields.pieces)
-        assert row.links == fields.links
+    assert_match(parse_pages(pages), html)
+
+
+FRAGMENTS = [
+    "word", "два", "😀", " ", "\n\t", "a < b", "3 > 2", "1<2", "&amp;", "&#8364;", "-->", "=", '"', "'",
+    "<p>", "</p>", "<p class='x>y'>", '<div data-x="</div>">', "</div >", "<br/>", "<BR>", "<hr title=a>",
+    "<b>", "</b>", "<span\nid=i>", "</span>", "<i title='<b>'>", "</i>", "<wbr>",
+    "<a href=/plain>", '<a href="/quoted?x=1&amp;y=2">', "<A class=c HREF='/single'>", "</a>",
+    "<a title='<a href=no>' href=\"/after\">", '<a data-href="no">', "<a href = /spaced >", "<a name=n>",
+    "<abbr href=no>", "<img alt=\"<a href='no'>\" src=s>", "<table><tr><td>", "<h2>", "</h2>",
+    "<h1>Head <b>li</b>ne</h1>", "<h1 class='>'>One<br>two</h1>", "<title>Ti tle</title>", "<title lang=x></title>",
+    "<!-- plain -->", "<!-- <title>no</title> <a href=no> -->", "<!-- a - b -- c > d -->", "<!--\n<h1>-->",
+    "<script>if (a < b) x = '<a href=no><title>no</title>';</script>", "<script src='>'></script>",
+    "<style>p > a { content: '<h1>' }</style>", "<STYLE media=x>b{}</STYLE>", "<scripty>", "</scripty>",
+]
+
+
+def test_random_pages_match_html_parser(spark):
+    """Fragments strewn at random: every rule meets every other one."""
+    choose = random.Random(20)
+    html = {
+        number: "<html lang=en>" + "".join(choose.choices(FRAGMENTS, k=choose.randint(1, 60)))
+        for number in range(3000)
+    }
+    pages = spark.createDataFrame(
+        [(number, None, page) for number, page in html.items()], PAGES_SCHEMA
+    )
+    assert_match(parse_pages(pages), html)

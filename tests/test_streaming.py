@@ -42,13 +42,18 @@ def test_ingest_matches_batch(spark, tmp_path):
 
 
 def test_checkpoint_defaults_to_the_shared_folder(spark, tmp_path):
-    landing, parsed = tmp_path / "landing", tmp_path / "parsed"
-    read_pages(spark, PAGES).write.parquet(str(landing))
-    ingest(spark, landing, parsed)
-    assert any(Path(spark.conf.get("spark.checkpoint.dir")).rglob("commits"))
+    """Two tables fed from one folder each get all pages: they share no checkpoint."""
+    landing = tmp_path / "landing"
+    pages = read_pages(spark, PAGES)
+    pages.write.parquet(str(landing))
+    for name in ("one", "two"):
+        ingest(spark, landing, tmp_path / name)
+        assert read_parsed(spark, str(tmp_path / name)).count() == pages.count()
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    assert len(list(shared.glob("pagequarry/ingest/*/commits"))) == 2
 
 
 def test_no_checkpoint_folder_is_an_error():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(ValueError, match="checkpoint"):
-        _checkpoint_location(session)
+        _checkpoint_location(session, "parsed")

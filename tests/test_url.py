@@ -1,7 +1,13 @@
+import random
+import re
+from urllib.parse import urlsplit
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import canonical_url, url_host
+from pagequarry.operators import parse_pages
+from pagequarry.sources import read_pages
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +67,49 @@ def test_canonical_url(apply, url, canonical):
 )
 def test_host(apply, url, host):
     assert apply(url_host, url) == host
+
+
+def expected_canonical(url):
+    parts = urlsplit(url)
+    host = parts.hostname
+    for prefix in ("www.", "m."):
+        if host.startswith(prefix) and "." in host[len(prefix):]:
+            host = host[len(prefix):]
+            break
+    own = {"http": 80, "https": 443}[parts.scheme]
+    port = "" if parts.port in (None, own) else f":{parts.port}"
+    numbers = [p for p in parts.query.split("&") if re.fullmatch("page=[0-9]+", p)]
+    return host + port + (parts.path or "/") + (f"?{numbers[0]}" if numbers else "")
+
+
+def assert_urls_match(frame):
+    rows = frame.select("url", "canonical_url", "host").collect()
+    for row in rows:
+        assert row.canonical_url == expected_canonical(row.url), row.url
+        assert row.host == urlsplit(row.url).hostname, row.url
+    assert rows
+
+
+def test_table_urls_match_urllib(spark, folder):
+    assert_urls_match(parse_pages(read_pages(spark, f"{folder}/pages.parquet")))
+
+
+def test_random_urls_match_urllib(spark):
+    choose = random.Random(20)
+    pick = choose.choice
+    urls = [
+        pick(["http", "https", "HTTP", "Https"])
+        + "://"
+        + pick(["", "", "user@", "user:pw@"])
+        + pick(["", "www.", "m.", "WWW.", "www.m.", "blog."])
+        + pick(["a.example.org", "Example.COM", "example", "x-y.co.uk"])
+        + pick(["", "", ":80", ":443", ":8080", ":"])
+        + pick(["", "/", "/p", "/P/q/", "/a b", "//x", "/x@y:z", "/%7Eu"])
+        + pick(["", "?", "?page=2", "?a=1&page=3", "?page=2&page=3", "?page=x&b", "?xpage=1", "?u=http://b.org/?page=4"])
+        + pick(["", "#", "#top", "#?page=9", "#/x"])
+        for _ in range(3000)
+    ]
+    frame = spark.createDataFrame([(url,) for url in urls], "url string")
+    assert_urls_match(
+        frame.select("url", canonical_url(F.col("url")).alias("canonical_url"), url_host(F.col("url")).alias("host"))
+    )
