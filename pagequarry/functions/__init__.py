@@ -2,11 +2,12 @@
 
 from pagequarry.functions.html import (
     content_html,
+    href_values,
     html_lang,
-    link_count,
     link_targets,
     page_h1,
     page_title,
+    unquoted,
     visible_text,
 )
 from pagequarry.functions.url import canonical_url, url_host
@@ -14,11 +15,12 @@ from pagequarry.functions.url import canonical_url, url_host
 __all__ = [
     "canonical_url",
     "content_html",
+    "href_values",
     "html_lang",
-    "link_count",
     "link_targets",
     "page_h1",
     "page_title",
+    "unquoted",
     "url_host",
     "visible_text",
 ]

@@ -80,14 +80,16 @@ _HTML_LANG = rf"(?is)\A{_up_to('html')}<{_attribute('html', 'lang')}"
 _LINK = rf"(?is)<(?:{_COMMENT}|{_RAW}|{_attribute('a', 'href')}|{_TAG})"
 _INVISIBLE = (
     rf"(?is)<(?:{_COMMENT}|{_RAW}"
-    rf"|/?(?:{'|'.join(INLINE_ELEMENTS)}){_NAME_END}{_ATTRIBUTES})"
+    rf"|/?+(?:{'|'.join(INLINE_ELEMENTS)}){_NAME_END}{_ATTRIBUTES})"
 )
 _ANY_TAG = rf"(?is)<{_TAG}"
+# Whitespace that is not already a single space.
+_WIDE_SPACE = r"\s(?:\s++|(?<! ))"
 _QUOTES = r"""(?s)\A(["'])(.*)\1\z"""
 
 
 def _collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, _WIDE_SPACE, " "))
 
 
 def _null_if_empty(text: Column) -> Column:
@@ -120,18 +122,19 @@ def html_lang(html: Column) -> Column:
     return _null_if_empty(F.lower(_unquote(F.regexp_extract(html, _HTML_LANG, 1))))
 
 
-def _quoted_targets(html: Column) -> Column:
+def href_values(html: Column) -> Column:
+    """Array of the ``href`` values of all ``<a>`` tags as written, quotes included."""
     return F.array_remove(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), "")
 
 
-def link_targets(html: Column) -> Column:
-    """Array of the ``href`` values of all ``<a>`` tags, in page order."""
-    return F.transform(_quoted_targets(html), _unquote)
+def unquoted(values: Column) -> Column:
+    """Array of attribute values without their quotes and outer spaces."""
+    return F.transform(values, _unquote)
 
 
-def link_count(html: Column) -> Column:
-    """Number of ``<a>`` tags with an ``href`` value."""
-    return F.size(_quoted_targets(html)).cast("bigint")
+def link_targets(html: Column) -> Column:
+    """Array of the link targets of all ``<a>`` tags, in page order."""
+    return unquoted(href_values(html))
 
 
 def content_html(html: Column) -> Column:

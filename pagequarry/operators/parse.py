@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from pagequarry.functions import (
     canonical_url,
     content_html,
+    href_values,
     html_lang,
-    link_count,
-    link_targets,
     page_h1,
     page_title,
+    unquoted,
     url_host,
     visible_text,
 )
@@ -24,18 +24,21 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     ``content_hash`` is SHA-256: pages come from strangers, who can make two
     different contents share an MD5.
     """
-    return pages.select(
+    url, html = F.col("url"), F.col("html")
+    # A column of its own, so that the links and their number share one search.
+    with_hrefs = pages.select("page_id", "url", "html", href_values(html).alias("hrefs"))
+    return with_hrefs.select(
         "page_id",
         "url",
-        canonical_url(F.col("url")).alias("canonical_url"),
-        url_host(F.col("url")).alias("host"),
-        page_title(F.col("html")).alias("title"),
-        page_h1(F.col("html")).alias("h1"),
-        html_lang(F.col("html")).alias("lang"),
-        link_targets(F.col("html")).alias("links"),
-        link_count(F.col("html")).alias("n_links"),
-        visible_text(F.col("html")).alias("text"),
-        F.sha2(content_html(F.col("html")), 256).alias("content_hash"),
+        canonical_url(url).alias("canonical_url"),
+        url_host(url).alias("host"),
+        page_title(html).alias("title"),
+        page_h1(html).alias("h1"),
+        html_lang(html).alias("lang"),
+        unquoted(F.col("hrefs")).alias("links"),
+        F.size("hrefs").cast("bigint").alias("n_links"),
+        visible_text(html).alias("text"),
+        F.sha2(content_html(html), 256).alias("content_hash"),
     )
 
 
