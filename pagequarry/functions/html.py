@@ -1,15 +1,19 @@
 """HTML fields as Column expressions.
 
-Every function is a composition of built-in regex functions, so it stays inside
-whole-stage code generation and needs no shuffle.
+Every function is a composition of built-in functions: no Python runs per row.
+All but ``unquoted``, whose lambda Spark interprets, stay inside whole-stage code
+generation.
 
 The patterns walk a page the way a browser splits it: a comment, a script or
 style with its body, a tag with its quoted attribute values, or plain text. So a
 ``<title>`` inside a comment is not a title and a ``>`` inside a quoted value
-does not end a tag. All repetitions are possessive: a pattern reads a page once,
-never backtracks into what it has passed, and does not recurse per character,
-which keeps hostile or huge pages at linear cost and constant stack depth.
-Nothing has to be closed; an open element runs to the end of the page.
+does not end a tag. Nothing has to be closed; an open element runs to the end of
+the page.
+
+Repetitions are possessive, so a pattern does not return to what it has passed
+nor recurse per character, and hostile or huge pages keep linear cost and
+constant stack depth. The exception, the search for the last closing tag, walks
+back from the end once.
 
 Character entities stay encoded.
 """
@@ -98,11 +102,11 @@ def _null_if_empty(text: Column) -> Column:
 
 
 def _unquote(value: Column) -> Column:
-    return _collapse(F.regexp_replace(value, _QUOTES, "$2"))
+    return F.trim(F.regexp_replace(value, _QUOTES, "$2"), F.lit(" \t\r\n\f"))
 
 
 def visible_text(html: Column) -> Column:
-    """Text of the page: no script or style bodies, comments or tags; spaces collapsed."""
+    """Text of the page, title included, without code, comments and tags; spaces collapsed."""
     without_inline = F.regexp_replace(html, _INVISIBLE, "")
     return _collapse(F.regexp_replace(without_inline, _ANY_TAG, " "))
 

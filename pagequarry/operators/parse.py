@@ -36,7 +36,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         page_h1(html).alias("h1"),
         html_lang(html).alias("lang"),
         unquoted(F.col("hrefs")).alias("links"),
-        F.size("hrefs").cast("bigint").alias("n_links"),
+        F.array_size("hrefs").cast("bigint").alias("n_links"),
         visible_text(html).alias("text"),
         F.sha2(content_html(html), 256).alias("content_hash"),
     )

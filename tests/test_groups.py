@@ -38,7 +38,18 @@ def test_url_groups(small):
     assert groups.filter("page_id = 2").first().canonical_url == "a.example.org/x"
 
 
-def test_host_summary(small):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_host_summary(spark, ansi):
+    """Without ANSI mode, Spark's size() of a missing array is -1."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        check_host_summary(parse_pages(spark.createDataFrame(ROWS, PAGES_SCHEMA)))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def check_host_summary(small):
     rows = {row.host: tuple(row)[1:] for row in host_summary(small).collect()}
     assert rows == {
         "a.example.org": (2, 2, 0),

@@ -77,6 +77,7 @@ def test_lang(apply, html, lang):
         ("<a title='href=no' href=yes>", ["yes"]),
         ('<a title="a>b"href=yes>', ["yes"]),
         ("<a href = ' /padded '>", ["/padded"]),
+        ("<a href='\n/in  side\t'>", ["/in  side"]),
         ('<a href="">', [""]),
         ('<a href="it\'s">', ["it's"]),
         ("<a href=a><a href=a>", ["a", "a"]),

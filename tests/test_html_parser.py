@@ -91,7 +91,8 @@ FRAGMENTS = [
     "<a href=/plain>", '<a href="/quoted?x=1&amp;y=2">', "<A class=c HREF='/single'>", "</a>",
     "<a title='<a href=no>' href=\"/after\">", '<a data-href="no">', "<a href = /spaced >", "<a name=n>",
     "<abbr href=no>", "<img alt=\"<a href='no'>\" src=s>", "<table><tr><td>", "<h2>", "</h2>",
-    "<h1>Head <b>li</b>ne</h1>", "<h1 class='>'>One<br>two</h1>", "<title>Ti tle</title>", "<title lang=x></title>",
+    "<h1>Head <b>li</b>ne</h1>", "<h1 class='>'>One<br>two</h1>", "<title>Ti tle</title>",
+    "<title lang=x></title>",
     "<!-- plain -->", "<!-- <title>no</title> <a href=no> -->", "<!-- a - b -- c > d -->", "<!--\n<h1>-->",
     "<script>if (a < b) x = '<a href=no><title>no</title>';</script>", "<script src='>'></script>",
     "<style>p > a { content: '<h1>' }</style>", "<STYLE media=x>b{}</STYLE>", "<scripty>", "</scripty>",
