@@ -13,14 +13,29 @@ PAGES_SCHEMA = StructType(
     ]
 )
 
+BATCH_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
+ROWS_PER_BATCH = 64
+
+
+def read_in_small_batches(spark: SparkSession) -> None:
+    """Let parquet scans hold few pages at a time, unless the session sets its own size.
+
+    Spark reads 4,096 rows at once and keeps a column of them in one array of at
+    most 2 GB, so a scan of pages of 500 KB fails. Small batches cost no time.
+    """
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, ROWS_PER_BATCH)
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages stored as parquet. The fixed schema spares a pass over the footers."""
+    read_in_small_batches(spark)
     return spark.read.schema(PAGES_SCHEMA).parquet(path)
 
 
 def stream_pages(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Page files as they land in ``folder``."""
+    read_in_small_batches(spark)
     return (
         spark.readStream.schema(PAGES_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch)
