@@ -66,6 +66,42 @@ def test_url_groups_drop_the_known_duplicates(spark, folder):
     assert url_groups(parsed).count() == expected
 
 
+def shuffled_rows(frame):
+    """Rows each shuffle of the executed ``frame`` wrote."""
+
+    def walk(node):
+        yield node
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from walk(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            yield from walk(node.plan())
+        children = node.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    return [
+        node.metrics().apply("shuffleRecordsWritten").value()
+        for node in walk(frame._jdf.queryExecution().executedPlan())
+        if node.nodeName() == "Exchange"
+    ]
+
+
+def test_a_dominant_group_shuffles_one_row_per_task(spark, tmp_path):
+    """10,000 copies of one page in 4 files: 4 rows, not 10,000, cross each shuffle."""
+    path = str(tmp_path / "copies")
+    page = spark.createDataFrame(ROWS[:1], PAGES_SCHEMA).select("url", "html")
+    copies = spark.range(10_000, numPartitions=4).withColumnRenamed("id", "page_id")
+    copies.crossJoin(F.broadcast(page)).write.parquet(path)
+    for operator, shuffles in ((content_groups, 1), (url_groups, 1), (host_summary, 2)):
+        groups = operator(parse_pages(read_pages(spark, path)))
+        rows = groups.collect()
+        assert [row.n_pages for row in rows] == [10_000]
+        written = shuffled_rows(groups)
+        assert len(written) == shuffles
+        assert all(1 <= count <= 4 for count in written)
+
+
 def test_groups_with_a_dominant_key(spark):
     """Two thirds of the rows share one URL, content and host; no row is lost."""
     pages = read_pages(spark, "/root/testdata/sf0.01/pages.parquet")
