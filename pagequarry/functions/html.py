@@ -82,11 +82,17 @@ _HTML_LANG = rf"(?is)\A{_up_to('html')}<{_attribute('html', 'lang')}"
 # The other alternatives consume what a link must not be found in; they capture
 # nothing.
 _LINK = rf"(?is)<(?:{_COMMENT}|{_RAW}|{_attribute('a', 'href')}|{_TAG})"
-_INVISIBLE = (
-    rf"(?is)<(?:{_COMMENT}|{_RAW}"
-    rf"|/?+(?:{'|'.join(INLINE_ELEMENTS)}){_NAME_END}{_ATTRIBUTES})"
+# Text takes two passes. The first drops what leaves no gap; of any other tag it
+# keeps "<" (group 2) and the character behind it (group 1) as a mark, which the
+# second pass turns into a space. Right after a "<" of the text nothing is dropped
+# without a mark: that "<" and the text behind would together look like one.
+_INLINE_TAG = rf"/?+(?:{'|'.join(INLINE_ELEMENTS)}){_NAME_END}{_ATTRIBUTES}"
+_GAPLESS_OR_TAG = (
+    rf"(?is)<(?:(?<!<<)(?:{_COMMENT}|{_RAW}|{_INLINE_TAG})"
+    # From the first group on this cannot fail, so no group keeps a stale value.
+    rf"|(?=([a-z/!?]))(?<=(<))(?:{_COMMENT}|{_RAW}|{_TAG}))"
 )
-_ANY_TAG = rf"(?is)<{_TAG}"
+_MARK = r"<[a-zA-Z/!?]"
 # Whitespace that is not already a single space.
 _WIDE_SPACE = r"\s(?:\s++|(?<! ))"
 _QUOTES = r"""(?s)\A(["'])(.*)\1\z"""
@@ -107,8 +113,8 @@ def _unquote(value: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text of the page, title included, without code, comments and tags; spaces collapsed."""
-    without_inline = F.regexp_replace(html, _INVISIBLE, "")
-    return _collapse(F.regexp_replace(without_inline, _ANY_TAG, " "))
+    marked = F.regexp_replace(html, _GAPLESS_OR_TAG, "$2$1")
+    return _collapse(F.regexp_replace(marked, _MARK, " "))
 
 
 def page_title(html: Column) -> Column:

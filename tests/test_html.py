@@ -103,6 +103,16 @@ def test_links(apply, html, links):
         ("<style>p{}</style>x<script>if (a < b) '</p>'</script >y", "xy"),
         ("<p title='a>b'>t</p>", "t"),
         ("1 < 2 > 0", "1 < 2 > 0"),
+        ('<div data-x="<script>">seen</div>', "seen"),
+        ("<p title='<!--'>seen</p>", "seen"),
+        ("<b title='<style>'>seen</b>", "seen"),
+        ("List<<b>T</b>>", "List< T>"),
+        ("a <<!-- > -->b", "a < b"),
+        ("a <<script>'>'</script>b", "a < b"),
+        ("a <<p>b", "a < b"),
+        ("<<<", "<<<"),
+        ("a<", "a<"),
+        ("<>", "<>"),
         ("\t a \n\r\n b  c ", "a b c"),
         ("x<script>never closed <p>lost</p>", "x"),
         ("x<!-- never closed", "x"),

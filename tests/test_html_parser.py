@@ -95,6 +95,8 @@ FRAGMENTS = [
     "<title lang=x></title>",
     "<!-- plain -->", "<!-- <title>no</title> <a href=no> -->", "<!-- a - b -- c > d -->", "<!--\n<h1>-->",
     "<script>if (a < b) x = '<a href=no><title>no</title>';</script>", "<script src='>'></script>",
+    "<p data-x='<script>'>", '<div title="<!--">', "<b class='<style>'>", "<em title=\"<h1>\">",
+    '<td data-y="<title>no</title>">', '<a title="<script>" href="/code">',
     "<style>p > a { content: '<h1>' }</style>", "<STYLE media=x>b{}</STYLE>", "<scripty>", "</scripty>",
 ]
 
