@@ -12,8 +12,7 @@ the page.
 
 Repetitions are possessive, so a pattern does not return to what it has passed
 nor recurse per character, and hostile or huge pages keep linear cost and
-constant stack depth. The exception, the search for the last closing tag, walks
-back from the end once.
+constant stack depth.
 
 Character entities stay encoded.
 """
@@ -59,9 +58,20 @@ def _open(name: str) -> str:
 _TITLE = rf"{_open('title')}((?:[^<]++|<(?!/title{_NAME_END}))*+)"
 # Any other heading tag closes an open heading.
 _H1 = rf"{_open('h1')}({_up_to('/?h[1-6]')})"
-# Greedy to the last closing tag, so that nested articles stay whole.
-_ARTICLE = rf"{_open('article')}(.*(?=</article{_NAME_END})|.*)"
-_BODY = rf"{_open('body')}(.*(?=</body{_NAME_END})|.*)"
+
+
+def _through_last_end(name: str) -> str:
+    """After the first ``name`` tag: everything before the last closing one.
+
+    Up to the next closing tag, then on past it as long as another one follows, so
+    that nested elements stay whole.
+    """
+    segment = _up_to(f"/{name}")
+    return rf"{_open(name)}({segment}(?:</{name}{_ATTRIBUTES}{segment}(?=<))*+)"
+
+
+_ARTICLE = _through_last_end("article")
+_BODY = _through_last_end("body")
 
 _ATTRIBUTE_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
 _OTHER_ATTRIBUTE = (

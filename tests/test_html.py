@@ -135,6 +135,9 @@ def test_text(apply, html, text):
         ("<nav>n</nav><article class=x>A <b>b</article>f", "A <b>b"),
         ("<article>a<article>b</article>c</article>d", "a<article>b</article>c"),
         ("<article>never closed", "never closed"),
+        ("<article>a</article><script>'</article>'</script>", "a"),
+        ("<article>a<!-- </article> -->b</ARTICLE >c<p title='</article>'>", "a<!-- </article> -->b"),
+        ("<article>a</article>b<article>c</article>d<article>e", "a</article>b<article>c"),
         ("<!-- <article>no</article> --><article>yes</article>", "yes"),
         ("<html><body id=b>x<p>y</body></html>", "x<p>y"),
         ("<body>never closed", "never closed"),
@@ -157,6 +160,8 @@ HOSTILE = [
     "<a href='" * 100_000,
     '<a b="' * 150_000,
     "</article>" * 100_000,
+    "<article>" + "</article>" * 100_000,
+    "<article>" + "</article><" * 100_000,
     " " * 1_000_000,
     "=" * 1_000_000,
 ]
