@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import toxicity
+from pagequarry.llm import line_dedup, toxicity
 from pagequarry.llm.common import crc_remainder, read
 
 
@@ -32,8 +32,22 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    before = docs.withColumn(
+        "n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    )
+    return line_dedup.dedup_lines(before, removed="removed").select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
