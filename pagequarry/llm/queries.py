@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import line_dedup, toxicity
+from pagequarry.llm import decontaminate, line_dedup, toxicity
 from pagequarry.llm.common import crc_remainder, read
 
 
@@ -32,6 +32,27 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    items = read(spark, folder, "benchmark").select(F.col("item_id").alias("item"), "text")
+    found = decontaminate.overlaps(docs.withColumnRenamed("doc_id", "id"), items)
+    none = F.array().cast("array<long>")
+    return (
+        docs.select("doc_id", F.xxhash64("text").alias("print"))
+        .join(
+            found.withColumnRenamed("id", "found_id").withColumnRenamed("print", "found_print"),
+            F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("print") == F.col("found_print")),
+            "left",
+        )
+        .select(
+            "doc_id",
+            F.col("items").isNotNull().alias("contaminated"),
+            F.coalesce("items", none).alias("item_ids"),
+            F.size(F.coalesce("starts", none)).cast("long").alias("n_windows"),
+        )
+    )
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     before = docs.withColumn(
@@ -47,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
 
