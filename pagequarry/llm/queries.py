@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontaminate, line_dedup, toxicity
+from pagequarry.llm import decontaminate, jaccard, line_dedup, toxicity
 from pagequarry.llm.common import crc_remainder, read
 
 
@@ -32,6 +32,13 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return jaccard.near_duplicates(docs).select(
+        F.col("id").alias("doc_id"), "class_id", "n_links"
+    )
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     items = read(spark, folder, "benchmark").select(F.col("item_id").alias("item"), "text")
@@ -68,6 +75,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_jaccard": op4_jaccard,
     "op7_decontaminate": op7_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
