@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontaminate, jaccard, line_dedup, toxicity
+from pagequarry.llm import bpe, decontaminate, jaccard, line_dedup, toxicity
 from pagequarry.llm.common import crc_remainder, read
 
 
@@ -32,6 +32,27 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def word_bpe() -> str:
+    """The vocabulary file of the queries, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return bpe_digest(bpe.encode_and_decode(docs, word_bpe()))
+
+
+def bpe_digest(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     return jaccard.near_duplicates(docs).select(
@@ -75,6 +96,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_bpe": op3_bpe,
     "op4_jaccard": op4_jaccard,
     "op7_decontaminate": op7_decontaminate,
     "op10_line_dedup": op10_line_dedup,
