@@ -18,17 +18,27 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is set only where that
-    is unset, as in a local test.
+    One is set only where the session names none, as in a local test.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-        )
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
