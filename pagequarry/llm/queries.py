@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, decontaminate, jaccard, line_dedup, toxicity
+from pagequarry.llm import bpe, decontaminate, jaccard, language_id, line_dedup, toxicity
 from pagequarry.llm.common import crc_remainder, read
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    remainder = crc_remainder("doc_id", 3)
+    learned = language_id.fit(docs.filter(F.coalesce(remainder, F.lit(-1)) != 1).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), learned)
+    held_out = F.coalesce(remainder, F.lit(-1)) == 1
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def fit_toxicity(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> toxicity.Model:
     """Fit on the labelled documents outside the held-out fifth."""
     docs = read(spark, folder, "documents") if docs is None else docs
@@ -102,6 +111,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_jaccard": op4_jaccard,
