@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,50 @@ def random_words(seed: int, n: int) -> np.ndarray:
     start = (seed * 0x632BE59BD9B4E019) & (2**64 - 1)
     steps = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(golden)
     return mixed(steps + np.uint64(start))
+
+
+def window_starts(offsets: np.ndarray, span: int) -> np.ndarray:
+    """Indices at which ``span`` values of the same row begin."""
+    n = np.maximum(np.diff(offsets) - span + 1, 0)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(offsets[:-1], n) + within
+
+
+FILTER_BITS = 26
+
+
+def filter_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a bit filter that each 64-bit key sets."""
+    shift = np.uint64(64 - FILTER_BITS)
+    first = (keys * np.uint64(0x9E3779B97F4A7C15)) >> shift
+    return first.astype(np.int64), (mixed(keys) >> shift).astype(np.int64)
+
+
+def bits_set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A bit filter of the only column of ``keys``, as bytes.
+
+    Its size is fixed: 8 MB. Full of too many keys it lets more pass, so what it lets
+    pass must still be joined with the keys.
+    """
+    (name,) = keys.columns
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.concatenate(filter_bits(batch.column(0).to_numpy().view(np.uint64)))
+            mask = np.uint64(1) << (bits & 63).astype(np.uint64)
+            yield pa.RecordBatch.from_pydict({"at": bits >> 6, "bits": mask.view(np.int64)})
+
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    rows = (
+        keys.select(F.col(name).cast("long"))
+        .mapInArrow(words, "at long, bits long")
+        .groupBy("at")
+        .agg(F.bit_or("bits").alias("bits"))
+        .toPandas()
+    )
+    table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return table.view(np.uint8)

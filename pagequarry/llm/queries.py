@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, decontaminate, jaccard, language_id, line_dedup, toxicity
+from pagequarry.llm import bpe, decontaminate, jaccard, language_id, line_dedup, substring_dedup, toxicity
 from pagequarry.llm.common import crc_remainder, read
 
 
@@ -69,6 +69,16 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    gone = F.aggregate(
+        "removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]
+    )
+    return substring_dedup.dedup_substrings(docs).select(
+        "doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     items = read(spark, folder, "benchmark").select(F.col("item_id").alias("item"), "text")
@@ -115,9 +125,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_jaccard": op4_jaccard,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13),
+windows AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS words FROM starts),
+repeated AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, min(doc_id) OVER (PARTITION BY words) AS first FROM windows
+  ) WHERE doc_id > first
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM repeated),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id,
+       CAST(len(w) AS BIGINT) AS n_words,
+       CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(
+         CASE WHEN ps IS NULL THEN w
+              ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(ps, i)] END,
+         ' ')) AS kept_sha256
+FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id""",
+}
