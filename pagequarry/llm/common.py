@@ -103,11 +103,16 @@ def window_starts(offsets: np.ndarray, span: int) -> np.ndarray:
 FILTER_BITS = 26
 
 
-def filter_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a bit filter that each 64-bit key sets."""
-    shift = np.uint64(64 - FILTER_BITS)
-    first = (keys * np.uint64(0x9E3779B97F4A7C15)) >> shift
-    return first.astype(np.int64), (mixed(keys) >> shift).astype(np.int64)
+_SHIFT = np.uint64(64 - FILTER_BITS)
+
+
+def first_bit(keys: np.ndarray) -> np.ndarray:
+    """The first of the two bits of a bit filter that each 64-bit key sets."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> _SHIFT).astype(np.int64)
+
+
+def second_bit(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys) >> _SHIFT).astype(np.int64)
 
 
 def bits_set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -124,7 +129,8 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.concatenate(filter_bits(batch.column(0).to_numpy().view(np.uint64)))
+            key = batch.column(0).to_numpy().view(np.uint64)
+            bits = np.concatenate([first_bit(key), second_bit(key)])
             mask = np.uint64(1) << (bits & 63).astype(np.uint64)
             yield pa.RecordBatch.from_pydict({"at": bits >> 6, "bits": mask.view(np.int64)})
 

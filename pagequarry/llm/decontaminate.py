@@ -27,7 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import flat_lists, folded_hashes, mixed, random_words
+from pagequarry.llm.common import (
+    bit_filter,
+    bits_set,
+    first_bit,
+    flat_lists,
+    folded_hashes,
+    random_words,
+    second_bit,
+    window_starts,
+)
 
 SPAN = 13
 TOLERATED = 2
@@ -37,20 +46,12 @@ DIFFERENCE_SET = (0, 1, 3, 9)
 MASKS = tuple(
     tuple(sorted((place + shift) % SPAN for place in DIFFERENCE_SET)) for shift in range(SPAN)
 )
-FILTER_BITS = 26
 # Windows hashed at a time: their arrays stay in the processor's cache.
 BLOCK = 1 << 17
 _FACTORS = random_words(7, SPAN) | np.uint64(1)
 _SALTS = random_words(8, len(MASKS))
 
 
-def window_starts(offsets: np.ndarray, span: int) -> np.ndarray:
-    """Indices at which a whole window of the same row begins."""
-    n = np.maximum(np.diff(offsets) - span + 1, 0)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(offsets[:-1], n) + within
-
-
 def _seeds(hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """For blocks of ``starts`` and each mask: starts, mask, seeds."""
     for at in range(0, len(starts), BLOCK):
@@ -64,16 +65,6 @@ def _seeds(hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield block, mask, seed
 
 
-def _bits(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of the filter that a seed sets."""
-    shift = np.uint64(64 - FILTER_BITS)
-    return (seed >> shift).astype(np.int64), (mixed(seed) >> shift).astype(np.int64)
-
-
-def _set_bits(filter_bytes: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return (filter_bytes[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-
-
 def _windows(hashes: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The words of each window, as a list column."""
     table = hashes[starts[:, None] + np.arange(SPAN)].view(np.int64)
@@ -113,24 +104,6 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return windows.mapInArrow(hashed, "seed long, words array<long>, items array<long>")
 
 
-def _filter_bytes(seeds: DataFrame) -> np.ndarray:
-    """The bit filter: at most 2 ** (FILTER_BITS - 6) words reach the driver."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.concatenate(_bits(batch.column("seed").to_numpy().view(np.uint64)))
-            yield pa.RecordBatch.from_pydict(
-                {"at": bits >> 6, "bits": (np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64)}
-            )
-
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    rows = (
-        seeds.select("seed").mapInArrow(words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    ).toPandas()
-    table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return table.view(np.uint8)
-
-
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (id, print, items, starts) for documents that overlap a benchmark item.
 
@@ -138,7 +111,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     items, ``starts`` the words of the document at which an overlapping window begins.
     """
     seeds = _item_seeds(items.select("item", folded_hashes(F.col("text")).alias("hashes")))
-    filter_bytes = docs.sparkSession.sparkContext.broadcast(_filter_bytes(seeds))
+    filter_bytes = docs.sparkSession.sparkContext.broadcast(bit_filter(seeds.select("seed")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filter_bytes.value
@@ -146,9 +119,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
             hashes, offsets = flat_lists(batch.column("hashes"))
             hashes = hashes.view(np.uint64)
             for block, _, seed in _seeds(hashes, window_starts(offsets, SPAN)):
-                first = (seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = np.flatnonzero(_set_bits(table, first))
-                hit = hit[_set_bits(table, _bits(seed[hit])[1])]
+                hit = np.flatnonzero(bits_set(table, first_bit(seed)))
+                hit = hit[bits_set(table, second_bit(seed[hit]))]
                 if not len(hit):
                     continue
                 start = block[hit]

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ from pagequarry.llm.common import (
     bit_filter,
     bits_set,
     checkpointed,
-    filter_bits,
+    first_bit,
     flat_lists,
     mixed,
     random_words,
+    second_bit,
     window_starts,
     word_hashes,
 )
@@ -198,11 +200,11 @@ def dedup_substrings(
     table = docs.sparkSession.sparkContext.broadcast(bit_filter(found.select("id")))
 
     @F.pandas_udf("boolean")
-    def may_repeat(ids):
-        first, second = filter_bits(ids.to_numpy().view(np.uint64))
-        import pandas as pd
-
-        return pd.Series(bits_set(table.value, first) & bits_set(table.value, second))
+    def may_repeat(ids: pd.Series) -> pd.Series:
+        key = ids.to_numpy().view(np.uint64)
+        return pd.Series(
+            bits_set(table.value, first_bit(key)) & bits_set(table.value, second_bit(key))
+        )
 
     affected = plain.filter(may_repeat("__id")).join(
         found.select(F.col("id").alias("__found"), F.col("windows").alias("__windows")),
