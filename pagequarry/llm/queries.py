@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, decontaminate, jaccard, language_id, line_dedup, substring_dedup, toxicity
-from pagequarry.llm.common import crc_remainder, read
+from pagequarry.llm import bpe, chat, decontaminate, jaccard, language_id, line_dedup, substring_dedup, token_counts, toxicity
+from pagequarry.llm.common import checkpointed, crc_remainder, read
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(read(spark, folder, "conversations"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     gone = F.aggregate(
@@ -100,6 +104,16 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, folder, "documents").select("text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counted = token_counts.count_tokens(docs, path, public_tokenizers.PATTERN)
+    counts = checkpointed(token_counts.histogram(counted.select("n_tokens")))
+    return token_counts.limits(counts)
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     before = docs.withColumn(
@@ -125,13 +139,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_jaccard": op4_jaccard,
+    "op5_chat": op5_chat,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_token_counts": op8_token_counts,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (
+  SELECT conv_id,
+         list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '')
+                    || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS whole
+  FROM t GROUP BY conv_id
+),
+firsts AS (
+  SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(whole) AS whole
+  FROM c GROUP BY turns
+)
+SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies,
+       whole AS text
+FROM firsts a
+WHERE NOT EXISTS (
+  SELECT 1 FROM firsts b
+  WHERE b.turns[1] = a.turns[1] AND len(b.turns) > len(a.turns)
+    AND b.turns[1:len(a.turns)] = a.turns
+)""",
     "op6_substring_dedup": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
