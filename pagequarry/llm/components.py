@@ -8,35 +8,42 @@ from pyspark.sql import functions as F
 from pagequarry.llm.common import checkpointed
 
 
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every node ties its larger neighbours to the smallest of its neighbours and itself."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(F.col("a").alias("of")).agg(F.least("of", F.min("b")).alias("least"))
+    return (
+        both.filter("b > a").join(least, F.col("a") == F.col("of"))
+        .select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    )
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Every node ties its smaller neighbours and itself to the smallest of them."""
+    least = links.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least"))
+    tied = links.join(least, F.col("a") == F.col("of")).select(
+        F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")
+    )
+    return tied.filter("a != b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, label) for every node of ``links`` (a, b): the smallest node it reaches.
 
-    Each round takes the smallest label among the neighbours and then the label of that
-    label, so the rounds grow with the logarithm of a component's width. Each is cut off
-    by a checkpoint. Labels of a node are reduced before the shuffle, and the joins are
-    between tables of their own, so a node with very many links can be split.
+    Large and small stars take turns until every node hangs on its component's smallest;
+    that takes few rounds, each one job, cut off by a checkpoint. The links keep their
+    number or less, and smallest neighbours are reduced before the shuffle.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = checkpointed(both.distinct())
-    labels = checkpointed(
-        edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
-    )
+    links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    state = F.struct(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")
+    ).alias("state")
+    before = None
     while True:
-        heard = (
-            edges.join(labels, F.col("b") == F.col("node"))
-            .groupBy("a")
-            .agg(F.min("label").alias("heard"))
-        )
-        nearer = labels.join(heard, F.col("node") == F.col("a")).select(
-            "node", "label", F.least("label", "heard").alias("next")
-        )
-        nearer = checkpointed(nearer)
-        jump = nearer.select(F.col("node").alias("at"), F.col("next").alias("beyond"))
-        after = checkpointed(
-            nearer.join(jump, F.col("next") == F.col("at")).select(
-                "node", F.col("beyond").alias("label"), (F.col("beyond") != F.col("label")).alias("moved")
-            )
-        )
-        labels = after.select("node", "label")
-        if after.filter("moved").isEmpty():
-            return labels
+        links = checkpointed(_small_star(_large_star(links)))
+        after = links.agg(state).first().state
+        if after == before:
+            break
+        before = after
+    roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)
