@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, decontaminate, jaccard, language_id, line_dedup, substring_dedup, token_counts, toxicity
+from pagequarry.llm import bpe, chat, decontaminate, jaccard, language_id, line_dedup, neighbours, substring_dedup, token_counts, toxicity
 from pagequarry.llm.common import checkpointed, crc_remainder, read
 
 
@@ -114,6 +114,11 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.limits(counts)
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    table = read(spark, folder, "embeddings")
+    return neighbours.nearest(table, table.filter("vec_id % 20 = 0"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     before = docs.withColumn(
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
+    "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
