@@ -32,6 +32,7 @@ _SPACE = regex.compile(r"\p{White_Space}+")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 KEPT_WORDS = 100_000
 LONGEST_KEPT = 64
+KEPT_PAIRS = 300_000
 NEVER = 1 << 40
 
 
@@ -199,7 +200,7 @@ class Encoder:
                     key = last[start] << 20 | token
                     fits = apart.get(key)
                     if fits is None:
-                        if len(apart) >= 1_000_000:
+                        if len(apart) >= KEPT_PAIRS:
                             apart.clear()
                         fits = apart[key] = self._apart(last[start], token)
                     if not fits:

@@ -69,6 +69,24 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
+def row_blocks(
+    column: pa.Array, most: int = 1 << 19
+) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """A list column in runs of rows with at most ``most`` values, or of a single row.
+
+    Gives the rows, their values end to end and their offsets, so that what is computed
+    from a batch at a time stays small however large its rows are.
+    """
+    values, offsets = flat_lists(column)
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
+        end = min(max(end, at + 1), len(column))
+        part = offsets[at : end + 1]
+        yield slice(at, end), values[part[0] : part[-1]], part - part[0]
+        at = end
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` for each row; 0 for an empty row."""
     total = np.concatenate([[0], np.cumsum(values)])

@@ -34,6 +34,7 @@ from pagequarry.llm.common import (
     flat_lists,
     folded_hashes,
     random_words,
+    row_blocks,
     second_bit,
     window_starts,
 )
@@ -104,6 +105,22 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return windows.mapInArrow(hashed, "seed long, words array<long>, items array<long>")
 
 
+def _hits(
+    column: pa.Array, table: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Start, seed, row and words of the windows that the bit filter lets pass."""
+    for rows, hashes, offsets in row_blocks(column):
+        hashes = hashes.view(np.uint64)
+        for block, _, seed in _seeds(hashes, window_starts(offsets, SPAN)):
+            hit = np.flatnonzero(bits_set(table, first_bit(seed)))
+            hit = hit[bits_set(table, second_bit(seed[hit]))]
+            if len(hit):
+                at = block[hit]
+                row = np.searchsorted(offsets, at, side="right") - 1
+                start = (at - offsets[row]).astype(np.int64)
+                yield start, seed[hit], row + rows.start, _windows(hashes, at)
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (id, print, items, starts) for documents that overlap a benchmark item.
 
@@ -116,23 +133,15 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filter_bytes.value
         for batch in batches:
-            hashes, offsets = flat_lists(batch.column("hashes"))
-            hashes = hashes.view(np.uint64)
-            for block, _, seed in _seeds(hashes, window_starts(offsets, SPAN)):
-                hit = np.flatnonzero(bits_set(table, first_bit(seed)))
-                hit = hit[bits_set(table, second_bit(seed[hit]))]
-                if not len(hit):
-                    continue
-                start = block[hit]
-                row = np.searchsorted(offsets, start, side="right") - 1
+            for start, seed, row, words in _hits(batch.column("hashes"), table):
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(rows),
                         batch.column("print").take(rows),
-                        pa.array(seed[hit].view(np.int64)),
-                        pa.array((start - offsets[row]).astype(np.int64)),
-                        _windows(hashes, start),
+                        pa.array(seed.view(np.int64)),
+                        pa.array(start),
+                        words,
                     ],
                     names=["id", "print", "seed", "start", "here"],
                 )

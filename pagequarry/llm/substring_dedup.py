@@ -36,6 +36,7 @@ from pagequarry.llm.common import (
     flat_lists,
     mixed,
     random_words,
+    row_blocks,
     second_bit,
     window_starts,
     word_hashes,
@@ -71,18 +72,6 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, word hashes and offsets of runs of rows with about ``BLOCK`` words."""
-    hashes, offsets = flat_lists(batch.column("hashes"))
-    ids = batch.column("id").to_numpy()
-    at = 0
-    while at < len(ids):
-        end = max(int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1, at + 1)
-        part = offsets[at : end + 1]
-        yield ids[at:end], hashes[part[0] : part[-1]].view(np.uint64), part - part[0]
-        at = end
-
-
 def _smallest(found: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by window, where each window starts in it, and the smallest id of each."""
     order = np.argsort(found)
@@ -116,7 +105,9 @@ def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, hashes, offsets in _blocks(batch):
+            all_ids = batch.column("id").to_numpy()
+            for rows, hashes, offsets in row_blocks(batch.column("hashes"), BLOCK):
+                ids, hashes = all_ids[rows], hashes.view(np.uint64)
                 starts = window_starts(offsets, span)
                 if not len(starts):
                     continue
