@@ -1,0 +1,127 @@
+import random
+from fractions import Fraction
+from math import comb
+
+import pytest
+
+from pagequarry.llm import jaccard as op
+from pagequarry.llm.components import components
+from tests.llm.conftest import WORDS
+
+
+def shingle_sets(rows):
+    sets = {}
+    for i, text, _ in rows:
+        words = (text or "").split()
+        n = max(len(words) - 4, 1) if words else 0
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(n))
+    return sets
+
+
+def classes(sets, threshold=0.8):
+    """Smallest id that each document reaches over pairs of all documents."""
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and len(a & b) >= threshold * len(a | b):
+                x, y = find(i), find(j)
+                top[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def family(rng, size, start, vocabulary):
+    """Copies of a text with a few words exchanged, of copies, and so on."""
+    base = rng.choices(vocabulary, k=120)
+    rows = []
+    for k in range(size):
+        words = list(rng.choice([base, rows[-1][1].split()]) if rows else base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((start + k, " ".join(words), None))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(4)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    rows = family(rng, 90, 0, vocabulary) + family(rng, 30, 1000, vocabulary)
+    rows += [(2000 + k, " ".join(rng.choices(vocabulary, k=60)), None) for k in range(60)]
+    rows += [(3000 + k, rows[5][1], None) for k in range(10)]
+    return rows
+
+
+def test_against_brute_force(table, rows, monkeypatch):
+    # Small chunks, so that pairs of chunks are met as well.
+    monkeypatch.setattr(op, "CHUNK", 8)
+    docs = table(rows).selectExpr("doc_id AS id", "text")
+    found = {r.id: r for r in op.near_duplicates(docs).collect()}
+    want = classes(shingle_sets(rows))
+    assert {i: r.class_id for i, r in found.items()} == want
+    assert len(set(want.values())) > 62
+    alone = [i for i, c in want.items() if list(want.values()).count(c) == 1]
+    assert all(found[i].n_links == 0 for i in alone)
+
+
+def test_one_of_each_class_stays(table, rows):
+    docs = table(rows)
+    kept = op.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = classes(shingle_sets(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_posterior_drops_what_cannot_reach_the_threshold():
+    steps = op.least_matches(0.8, 1e-4)
+    t = Fraction(4, 5)
+    for n, least in steps:
+        # The integral of the posterior above the threshold, as an exact fraction.
+        def above(m, n=n):
+            return sum(comb(n + 1, k) * t**k * (1 - t) ** (n + 1 - k) for k in range(m + 1))
+
+        assert above(least) >= Fraction(1, 10_000)
+        assert least == 0 or above(least - 1) < Fraction(1, 10_000)
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)]
+    links += [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = {r.node: r.label for r in components(frame).collect()}
+    top = {}
+
+    def find(i):
+        top.setdefault(i, i)
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    assert found == {i: find(i) for i in list(top)}
+    assert components(frame.limit(0)).count() == 0
+
+
+def test_odd_rows(table, odd_rows):
+    docs = table(odd_rows)
+    found = op.near_duplicates(docs.selectExpr("doc_id AS id", "text")).collect()
+    assert len(found) == len(odd_rows)
+    by_id = {(r.id, r.alone): r.class_id for r in found}
+    assert by_id[1, False] == 1 and by_id[None, False] == 1
+    assert by_id[2, True] == 2 and by_id[None, True] is None
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in op.drop_near_duplicates(docs).collect())
+    want = {(i is None, i or 0, t or "") for i, t, _ in odd_rows if not (t == odd_rows[0][1] and i != 1)}
+    assert kept == sorted(want)
+    assert op.drop_near_duplicates(table([])).count() == 0

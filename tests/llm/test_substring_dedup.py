@@ -1,0 +1,67 @@
+import random
+
+from pagequarry.llm import substring_dedup as op
+from tests.llm.conftest import LONG, WORDS
+
+
+def expected(rows):
+    first = {}
+    last = 1 << 63
+    for i, text, _ in rows:
+        words = (text or "").split()
+        for k in range(len(words) - 12):
+            window = tuple(words[k : k + 13])
+            first[window] = min(first.get(window, last), last if i is None else i)
+    out = []
+    for i, text, _ in rows:
+        words = (text or "").split()
+        gone = set()
+        for k in range(len(words) - 12):
+            if first[tuple(words[k : k + 13])] < (last if i is None else i):
+                gone |= set(range(k, k + 13))
+        kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+        out.append((i is None, i or 0, len(words), len(gone), kept))
+    return sorted(out)
+
+
+def found(docs):
+    return sorted(
+        (r.doc_id is None, r.doc_id or 0, r.n_words, sum(x.end - x.start for x in r.removed), r.kept)
+        for r in op.dedup_substrings(docs).collect()
+    )
+
+
+def test_against_brute_force(table, monkeypatch):
+    # Several blocks per batch, so that windows are settled in blocks and in buckets.
+    monkeypatch.setattr(op, "BLOCK", 100)
+    rng = random.Random(8)
+    passages = [rng.choices(WORDS, k=rng.randrange(10, 40)) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randrange(4)):
+            words += rng.choices(WORDS, k=rng.randrange(20)) + rng.choice(passages)
+        rows.append((i, " ".join(words), None))
+    rows += [(200, "ab cd " * 60, None), (201, "ab cd " * 50, None)]
+    assert found(table(rows).repartition(3)) == expected(rows)
+
+
+def test_intervals_are_maximal(table):
+    base = " ".join(f"w{k}" for k in range(40))
+    docs = table([(1, base, None), (2, "x " + base + " y " + base, None)])
+    row = {r.doc_id: r for r in op.dedup_substrings(docs).collect()}[2]
+    assert [(x.start, x.end) for x in row.removed] == [(1, 41), (42, 82)]
+    assert row.kept == "x y"
+
+
+def test_odd_rows(table, odd_rows):
+    rows = [*odd_rows, (9, LONG, None), (10, "a\x1cb c\x0bd", None)]
+    docs = table(rows)
+    assert op.dedup_substrings(docs).columns == [*docs.columns, "n_words", "removed", "kept"]
+    # Here words end at other characters than those of str.split().
+    spaced = [(i, t.replace("\x1c", "_").replace(" ", "_") if t else t, x) for i, t, x in rows]
+    restored = [
+        (*r[:4], r[4].replace("a_b_c", "a\x1cb c")) for r in expected(spaced)
+    ]
+    assert found(docs) == restored
+    assert op.dedup_substrings(table([])).count() == 0
