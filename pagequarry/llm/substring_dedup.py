@@ -81,6 +81,20 @@ def _smallest(found: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, starts, least
 
 
+def _window_bytes(found: np.ndarray, settled: bool) -> bytes:
+    """Hashes as they are if settled; else without the top byte, which the bucket tells."""
+    return found.tobytes() if settled else found.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _windows_of(data: bytes, settled: bool, bucket: int, bits: int) -> np.ndarray:
+    if settled:
+        return np.frombuffer(data, np.uint64)
+    whole = np.empty((len(data) // 7, 8), np.uint8)
+    whole[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    whole[:, 7] = bucket >> (bits - 8)
+    return whole.view(np.uint64).ravel()
+
+
 def _rows(bucket: np.ndarray, settled: bool, found: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """A packed row per bucket."""
     order = np.lexsort((ids, bucket))
@@ -92,16 +106,19 @@ def _rows(bucket: np.ndarray, settled: bool, found: np.ndarray, ids: np.ndarray)
             pa.array(bucket[edges[:-1]].astype(np.int64)),
             pa.array([settled] * len(spans)),
             pa.array([_pack(ids[a:b]) for a, b in spans], pa.binary()),
-            pa.array([found[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.array([_window_bytes(found[a:b], settled) for a, b in spans], pa.binary()),
         ],
         names=["bucket", "settled", "ids", "windows"],
     )
 
 
 def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows (id, windows): hashes of the windows of ``docs`` (id, hashes) that repeat others."""
+    """Rows (id, windows): hashes of the windows of ``docs`` (id, hashes) that repeat others.
+
+    An id may have several rows.
+    """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (8 * partitions - 1).bit_length())
+    bits = max(8, (8 * partitions - 1).bit_length())
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +145,11 @@ def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         parts = {True: [], False: []}
-        for settled, ids, found in zip(
-            *(table.column(c).to_pylist() for c in ("settled", "ids", "windows")), strict=True
+        for bucket, settled, ids, found in zip(
+            *(table.column(c).to_pylist() for c in ("bucket", "settled", "ids", "windows")),
+            strict=True,
         ):
-            parts[settled].append((_unpack(ids), np.frombuffer(found, np.uint64)))
+            parts[settled].append((_unpack(ids), _windows_of(found, settled, bucket, bits)))
         all_ids, all_found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         if parts[False]:
             ids, found = (np.concatenate(x) for x in zip(*parts[False], strict=True))
@@ -154,9 +172,6 @@ def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
         docs.mapInArrow(reduce, "bucket long, settled boolean, ids binary, windows binary")
         .groupBy("bucket")
         .applyInArrow(settle, "id long, windows array<long>")
-        # No more than the documents of that id have.
-        .groupBy("id")
-        .agg(F.flatten(F.collect_list("windows")).alias("windows"))
     )
 
 
@@ -198,7 +213,10 @@ def dedup_substrings(
         )
 
     affected = plain.filter(may_repeat("__id")).join(
-        found.select(F.col("id").alias("__found"), F.col("windows").alias("__windows")),
+        # No more windows than the documents of that id have.
+        found.groupBy(F.col("id").alias("__found")).agg(
+            F.flatten(F.collect_list("windows")).alias("__windows")
+        ),
         F.col("__id") == F.col("__found"),
         "left",
     )
