@@ -8,6 +8,7 @@ from pagequarry.functions.html import (
     page_h1,
     page_title,
     unquoted,
+    unquoted_value,
     visible_text,
 )
 from pagequarry.functions.url import canonical_url, url_host
@@ -21,6 +22,7 @@ __all__ = [
     "page_h1",
     "page_title",
     "unquoted",
+    "unquoted_value",
     "url_host",
     "visible_text",
 ]

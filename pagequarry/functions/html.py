@@ -1,14 +1,14 @@
 """HTML fields as Column expressions.
 
 Every function is a composition of built-in functions: no Python runs per row.
-All but ``unquoted``, whose lambda Spark interprets, stay inside whole-stage code
-generation.
+All but ``unquoted`` and the text of pages with a ``<`` in the body of a text
+element, whose lambdas Spark interprets, stay inside whole-stage code generation.
 
-The patterns walk a page the way a browser splits it: a comment, a script or
-style with its body, a tag with its quoted attribute values, or plain text. So a
-``<title>`` inside a comment is not a title and a ``>`` inside a quoted value
-does not end a tag. Nothing has to be closed; an open element runs to the end of
-the page.
+The patterns walk a page the way a browser splits it: a comment, an element whose
+body is no markup, a tag with its quoted attribute values, or plain text. So a
+``<title>`` inside a comment is not a title, a ``<script>`` inside a title is text,
+and a ``>`` inside a quoted value does not end a tag. Nothing has to be closed; an
+open element runs to the end of the page.
 
 Repetitions are possessive, so a pattern does not return to what it has passed
 nor recurse per character, and hostile or huge pages keep linear cost and
@@ -22,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the HTML standard.
-# Elements whose body is code, not markup or text.
-RAW_ELEMENTS = ("script", "style")
-# Elements that do not break a line or a word.
+# Fixed values of the HTML standard: elements whose body is never markup. A browser
+# shows that of the second kind as it stands, and nothing of the first.
+RAW_ELEMENTS = ("script", "style", "iframe", "noembed", "noframes")
+TEXT_ELEMENTS = ("title", "textarea", "xmp")
+# A choice: elements that do not break a line or a word.
 INLINE_ELEMENTS = (
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn",
     "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span",
@@ -38,16 +39,22 @@ _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"?+|'[^']*+'?+)?+)*+>?+"""
 # The pieces below come after a '<'.
 _COMMENT = r"!--(?:-?>|(?:[^-]++|-(?!-!?>))*+(?:--!?>)?+)"
 _TAG = rf"[a-z/!?]{_ATTRIBUTES}"
-_RAW = "|".join(
-    rf"{name}{_NAME_END}{_ATTRIBUTES}"
-    rf"(?:[^<]++|<(?!/{name}{_NAME_END}))*+(?:</{name}{_ATTRIBUTES})?+"
-    for name in RAW_ELEMENTS
-)
+
+
+def _with_body(name: str) -> str:
+    return (
+        rf"{name}{_NAME_END}{_ATTRIBUTES}"
+        rf"(?:[^<]++|<(?!/{name}{_NAME_END}))*+(?:</{name}{_ATTRIBUTES})?+"
+    )
+
+
+_RAW = "|".join(map(_with_body, RAW_ELEMENTS))
+_TEXT = "|".join(map(_with_body, TEXT_ELEMENTS))
 
 
 def _up_to(name: str) -> str:
     """Everything before the first tag called ``name``, piece by piece."""
-    return rf"(?:[^<]++|<(?!{name}{_NAME_END})(?:{_COMMENT}|{_RAW}|{_TAG})?+)*+"
+    return rf"(?:[^<]++|<(?!{name}{_NAME_END})(?:{_COMMENT}|{_RAW}|{_TEXT}|{_TAG})?+)*+"
 
 
 def _open(name: str) -> str:
@@ -91,7 +98,7 @@ def _attribute(tag: str, name: str) -> str:
 _HTML_LANG = rf"(?is)\A{_up_to('html')}<{_attribute('html', 'lang')}"
 # The other alternatives consume what a link must not be found in; they capture
 # nothing.
-_LINK = rf"(?is)<(?:{_COMMENT}|{_RAW}|{_attribute('a', 'href')}|{_TAG})"
+_LINK = rf"(?is)<(?:{_COMMENT}|{_RAW}|{_TEXT}|{_attribute('a', 'href')}|{_TAG})"
 # Text takes two passes. The first drops what leaves no gap; of any other tag it
 # keeps "<" (group 2) and the character behind it (group 1) as a mark, which the
 # second pass turns into a space. Right after a "<" of the text nothing is dropped
@@ -103,6 +110,23 @@ _GAPLESS_OR_TAG = (
     rf"|(?=([a-z/!?]))(?<=(<))(?:{_COMMENT}|{_RAW}|{_TAG}))"
 )
 _MARK = r"<[a-zA-Z/!?]"
+# These passes would take a "<" in the body of a text element for a tag. A page with
+# such a body is found by walking over all pieces but that, and is taken to pieces.
+_TEXT_START = rf"(?:{'|'.join(TEXT_ELEMENTS)}){_NAME_END}"
+_PLAIN_TEXT = "|".join(
+    rf"{name}{_NAME_END}{_ATTRIBUTES}[^<]*+(?:</{name}{_NAME_END}{_ATTRIBUTES}|\z)"
+    for name in TEXT_ELEMENTS
+)
+_HOLDS_MARKUP_AS_TEXT = (
+    rf"(?is)\A(?:[^<]++|<(?:{_PLAIN_TEXT}|(?!{_TEXT_START})(?:{_COMMENT}|{_RAW}|{_TAG})?+))*+"
+    rf"<{_TEXT_START}"
+)
+_PIECE = rf"(?is)<(?:{_COMMENT}|{_RAW}|{_TEXT}|{_TAG})|[^<]++|<"
+_GAPLESS_PIECE = rf"(?is)\A<(?:{_COMMENT}|{_RAW}|{_INLINE_TAG})\z"
+_TEXT_PIECE = (
+    rf"(?is)\A<({'|'.join(TEXT_ELEMENTS)}){_NAME_END}{_ATTRIBUTES}"
+    rf"((?:[^<]++|<(?!/\1{_NAME_END}))*+)"
+)
 # Whitespace that is not already a single space.
 _WIDE_SPACE = r"\s(?:\s++|(?<! ))"
 _QUOTES = r"""(?s)\A(["'])(.*)\1\z"""
@@ -113,7 +137,7 @@ def _collapse(text: Column) -> Column:
 
 
 def _null_if_empty(text: Column) -> Column:
-    # Unlike when(), nullif evaluates the (costly) text once.
+    # Spark shares the text between both uses, except inside a conditional branch.
     return F.nullif(text, F.lit(""))
 
 
@@ -124,7 +148,22 @@ def _unquote(value: Column) -> Column:
 def visible_text(html: Column) -> Column:
     """Text of the page, title included, without code, comments and tags; spaces collapsed."""
     marked = F.regexp_replace(html, _GAPLESS_OR_TAG, "$2$1")
-    return _collapse(F.regexp_replace(marked, _MARK, " "))
+    text = F.regexp_replace(marked, _MARK, " ")
+    pieces = F.regexp_extract_all(html, F.lit(_PIECE), F.lit(0))
+    from_pieces = F.array_join(F.transform(pieces, _piece_text), "")
+    return _collapse(F.when(html.rlike(_HOLDS_MARKUP_AS_TEXT), from_pieces).otherwise(text))
+
+
+def _piece_text(piece: Column) -> Column:
+    return (
+        F.when(piece.rlike(_GAPLESS_PIECE), "")
+        .when(
+            piece.rlike(rf"(?is)\A<{_TEXT_START}"),
+            F.concat(F.lit(" "), F.regexp_extract(piece, _TEXT_PIECE, 2), F.lit(" ")),
+        )
+        .when(piece.rlike(rf"\A{_MARK}"), " ")
+        .otherwise(piece)
+    )
 
 
 def page_title(html: Column) -> Column:
@@ -147,6 +186,11 @@ def href_values(html: Column) -> Column:
     return F.array_remove(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), "")
 
 
+def unquoted_value(value: Column) -> Column:
+    """An attribute value without its quotes and outer spaces."""
+    return _unquote(value)
+
+
 def unquoted(values: Column) -> Column:
     """Array of attribute values without their quotes and outer spaces."""
     return F.transform(values, _unquote)
@@ -157,14 +201,16 @@ def link_targets(html: Column) -> Column:
     return unquoted(href_values(html))
 
 
+def _first_body(html: Column, pattern: str) -> Column:
+    """What ``pattern`` captures, null if that is empty; the pattern is run once."""
+    bodies = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    return F.get(F.array_remove(bodies, ""), F.lit(0))
+
+
 def content_html(html: Column) -> Column:
     """Markup that counts as the page's content.
 
     From the first ``<article>`` to the last ``</article>``; without an article
     the ``<body>``, and without that the whole page.
     """
-    return F.coalesce(
-        _null_if_empty(F.regexp_extract(html, _ARTICLE, 1)),
-        _null_if_empty(F.regexp_extract(html, _BODY, 1)),
-        html,
-    )
+    return F.coalesce(_first_body(html, _ARTICLE), _first_body(html, _BODY), html)

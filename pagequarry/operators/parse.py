@@ -13,6 +13,7 @@ from pagequarry.functions import (
     page_h1,
     page_title,
     unquoted,
+    unquoted_value,
     url_host,
     visible_text,
 )
@@ -22,7 +23,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """One row per page with everything the other operators need.
 
     ``content_hash`` is SHA-256: pages come from strangers, who can make two
-    different contents share an MD5.
+    different contents share an MD5. ``hrefs`` holds the links as written.
     """
     url, html = F.col("url"), F.col("html")
     # A column of its own, so that the links and their number share one search.
@@ -35,6 +36,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         page_title(html).alias("title"),
         page_h1(html).alias("h1"),
         html_lang(html).alias("lang"),
+        "hrefs",
         unquoted(F.col("hrefs")).alias("links"),
         F.array_size("hrefs").cast("bigint").alias("n_links"),
         visible_text(html).alias("text"),
@@ -53,13 +55,23 @@ def url_canonical(parsed: DataFrame) -> DataFrame:
 
 
 def page_links(parsed: DataFrame) -> DataFrame:
-    """One row per link; ``position`` counts from 0 within the page."""
+    """One row per link; ``position`` counts from 0 within the page.
+
+    Values as written are taken where the table has them, and unquoted one by one: that
+    stays in generated code, unlike unquoting the array.
+    """
+    as_written = "hrefs" in parsed.columns
+    source = "hrefs" if as_written else "links"
     # The outer explode plus a filter is cheaper than the inner one: for that,
     # Spark adds a size check of its own, which would read the HTML once more.
     return (
-        parsed.select("page_id", F.posexplode_outer("links").alias("position", "href"))
+        parsed.select("page_id", F.posexplode_outer(source).alias("position", "href"))
         .filter("position IS NOT NULL")
-        .withColumn("position", F.col("position").cast("bigint"))
+        .select(
+            "page_id",
+            F.col("position").cast("bigint").alias("position"),
+            (unquoted_value(F.col("href")) if as_written else F.col("href")).alias("href"),
+        )
     )
 
 

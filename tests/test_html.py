@@ -1,5 +1,7 @@
 """Hand-checked expectations for single pages, well-formed or not."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +160,11 @@ HOSTILE = [
     "<" * 1_000_000,
     "<title" * 150_000,
     "<a href='" * 100_000,
+    "<title>" * 150_000,
+    "<title>a</title>" * 60_000,
+    "<textarea " * 100_000,
+    "<textarea><" * 100_000,
+    "<xmp></title>" * 80_000,
     '<a b="' * 150_000,
     "</article>" * 100_000,
     "<article>" + "</article>" * 100_000,
@@ -167,14 +174,54 @@ HOSTILE = [
 ]
 
 
-def test_hostile_pages_take_linear_time(spark):
-    """Megabyte pages of one repeated fragment: neither a stack overflow nor a stall."""
-    pages = spark.createDataFrame(list(enumerate(HOSTILE)), "id int, html string")
+def all_fields(spark, pages):
     html = F.col("html")
-    rows = pages.select(
+    return spark.createDataFrame(list(enumerate(pages)), "id int, html string").select(
         pq.page_title(html), pq.page_h1(html), pq.html_lang(html), F.size(pq.link_targets(html)),
         pq.visible_text(html), pq.content_html(html),
     ).collect()
+
+
+def test_hostile_pages_take_linear_time(spark):
+    """Megabyte pages of one repeated fragment: neither a stack overflow nor a stall."""
+    started = time.perf_counter()
+    rows = all_fields(spark, HOSTILE)
+    took = time.perf_counter() - started
     assert len(rows) == len(HOSTILE)
     assert rows[0][3] == 1
     assert rows[0][4] == "t"
+    # Seconds for pages of a megabyte; at quadratic cost one page alone takes hours.
+    assert took < 120
+
+
+MARKUP_IN_TEXT = "<title>The <script> tag</title><h1>Real</h1><article>same</article><a href=/x>"
+
+
+def test_markup_in_a_title_is_text(apply):
+    assert apply(pq.page_title, MARKUP_IN_TEXT) == "The <script> tag"
+    assert apply(pq.page_h1, MARKUP_IN_TEXT) == "Real"
+    assert apply(pq.visible_text, MARKUP_IN_TEXT) == "The <script> tag Real same"
+    assert apply(pq.link_targets, MARKUP_IN_TEXT) == ["/x"]
+    assert apply(pq.content_html, MARKUP_IN_TEXT) == "same"
+
+
+@pytest.mark.parametrize(
+    ("html", "text", "h1", "links"),
+    [
+        ("<title>a <!-- b</title><p>seen", "a <!-- b seen", None, []),
+        ("<title>How to use <h1></title><h1>Real</h1>", "How to use <h1> Real", "Real", []),
+        ("<title>Use <a href=no></title><a href=yes>", "Use <a href=no>", None, ["yes"]),
+        ("<iframe><a href=no>x</iframe>y", "y", None, []),
+        ("<noembed><h1>no</h1></noembed><noframes>x</noframes>y", "y", None, []),
+        ("a<textarea><b>x</b> </title></textarea>c", "a <b>x</b> </title> c", None, []),
+        ("<xmp><a href=no></xmp><h1>b<br>c</h1>", "<a href=no> b c", "b c", []),
+        ("<TITLE>x <i></TITLE ><b>B</b>old<!-- -->er", "x <i> Bolder", None, []),
+        ("<!-- <title> < -->a<b>b</b>", "ab", None, []),
+        ("<textarea>never closed <a href=no>", "never closed <a href=no>", None, []),
+        ("<textareas><a href=yes>x", "x", None, ["yes"]),
+    ],
+)
+def test_elements_whose_body_is_no_markup(apply, html, text, h1, links):
+    assert apply(pq.visible_text, html) == text
+    assert apply(pq.page_h1, html) == h1
+    assert apply(pq.link_targets, html) == links

@@ -44,6 +44,10 @@ def test_plan(spark, name):
         assert operator not in plan
     if name == "page_links":
         assert "size(" not in plan
+        assert "transform(" not in plan
+    if name == "page_dedup_content":
+        # The article and the body pattern, once each.
+        assert plan.count("regexp_extract_all(") == 2
 
 
 def test_parsed_table_gives_the_same_results(spark, tmp_path):
