@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagequarry.operators import parse_pages
-from pagequarry.sources import read_in_small_batches
-
 
 def save_parsed(pages: DataFrame, path: str) -> None:
     """Parse ``pages`` in one scan and write the result as parquet to a new ``path``."""
-    parse_pages(pages).write.parquet(path)
+    parse_pages(pages).drop("hrefs").write.parquet(path)
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
     """Input for every operator; only the columns a query uses are read."""
-    read_in_small_batches(spark)
     return spark.read.parquet(path)

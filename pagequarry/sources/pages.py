@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -15,29 +17,61 @@ PAGES_SCHEMA = StructType(
 
 BATCH_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
 ROWS_PER_BATCH = 64
+NEVER_TOO_OLD = "36500d"
 
 
 def read_in_small_batches(spark: SparkSession) -> None:
     """Let parquet scans hold few pages at a time, unless the session sets its own size.
 
     Spark reads 4,096 rows at once and keeps a column of them in one array of at
-    most 2 GB, so a scan of pages of 500 KB fails. Small batches cost no time.
+    most 2 GB, so a scan of pages of 500 KB fails. Call this before reading such pages.
+    It holds for every parquet scan of the session and makes those of narrow tables
+    slower, so no reader calls it.
     """
     if BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(BATCH_SETTING, ROWS_PER_BATCH)
 
 
+def _check_columns(spark: SparkSession, path: str) -> None:
+    """With a fixed schema, a column that is missing would read as null."""
+    found = spark.read.parquet(path).columns
+    missing = [c for c in PAGES_SCHEMA.names if c not in found]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(found)}")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages stored as parquet. The fixed schema spares a pass over the footers."""
-    read_in_small_batches(spark)
+    """Pages stored as parquet; fails if one of the page columns is missing."""
+    _check_columns(spark, path)
     return spark.read.schema(PAGES_SCHEMA).parquet(path)
 
 
-def stream_pages(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Page files as they land in ``folder``."""
-    read_in_small_batches(spark)
+def stream_pages(
+    spark: SparkSession, folder: str, files_per_batch: int = 1000, max_file_age: str = NEVER_TOO_OLD
+) -> DataFrame:
+    """Page files as they land in ``folder``.
+
+    Spark passes over files older than the newest by more than ``max_file_age``. By
+    default none is: then the list of files seen, kept in the checkpoint, grows with
+    their number. The columns of the files that are there at the start are checked.
+    """
+    if any(files_below(spark, folder)):
+        _check_columns(spark, folder)
     return (
         spark.readStream.schema(PAGES_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", max_file_age)
         .parquet(folder)
     )
+
+
+def files_below(spark: SparkSession, folder: str) -> Iterator[str]:
+    """Paths of the parquet files in ``folder`` and below, in any store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(place):
+        files = store.listFiles(place, True)
+        while files.hasNext():
+            path = files.next().getPath().toString()
+            if path.endswith(".parquet"):
+                yield path

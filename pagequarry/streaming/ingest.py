@@ -2,6 +2,10 @@
 
 Parsing is row-wise, so the stream keeps no state and needs no watermark; a lost
 executor only repeats its tasks, and the file sink commits each batch once.
+
+The file sink keeps a log of its files in the table, and readers then see only these. So
+a table belongs to one stream with one checkpoint, from its first file on; anything else
+would lose rows unseen and is refused.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagequarry.operators import parse_pages
 from pagequarry.sources import stream_pages
+from pagequarry.sources.pages import NEVER_TOO_OLD, files_below
 
 
 def _checkpoint_location(spark: SparkSession, parsed_path: str) -> str:
@@ -24,19 +29,53 @@ def _checkpoint_location(spark: SparkSession, parsed_path: str) -> str:
     return f"{shared.rstrip('/')}/pagequarry/ingest/{table}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(place) and (store.getFileStatus(place).isFile() or len(store.listStatus(place)) > 0)
+
+
+def _refuse_what_loses_rows(spark: SparkSession, parsed_path: str, checkpoint: str) -> None:
+    has_log = _exists(spark, f"{parsed_path}/_spark_metadata")
+    if not has_log and any(files_below(spark, parsed_path)):
+        raise ValueError(
+            f"{parsed_path} was not written by a stream: its rows would no longer be read; "
+            "ingest into a table of its own"
+        )
+    if has_log and not _exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(
+            f"{parsed_path} belongs to another checkpoint than {checkpoint}: its batches "
+            "would be taken for done; pass that checkpoint or another table"
+        )
+    if not has_log and _exists(spark, f"{checkpoint}/commits"):
+        raise ValueError(
+            f"{checkpoint} belongs to another table than {parsed_path}: files it has seen "
+            "would be missing; pass that table or another checkpoint"
+        )
+
+
 def start_ingest(
     spark: SparkSession,
     folder: str,
     parsed_path: str,
     checkpoint: str | None = None,
     files_per_batch: int = 1000,
+    max_file_age: str = NEVER_TOO_OLD,
 ) -> StreamingQuery:
-    """Parse what is in ``folder`` but not yet in ``parsed_path``, then stop."""
+    """Parse what is in ``folder`` but not yet in ``parsed_path``, then stop.
+
+    A table is fed from one folder. Raises ``ValueError`` before anything is written if
+    the table holds files of another origin, or table and checkpoint are not of one
+    stream. ``max_file_age`` is that of ``stream_pages``; its default passes over nothing.
+    """
+    checkpoint = checkpoint or _checkpoint_location(spark, parsed_path)
+    _refuse_what_loses_rows(spark, parsed_path, checkpoint)
     return (
-        parse_pages(stream_pages(spark, folder, files_per_batch))
+        parse_pages(stream_pages(spark, folder, files_per_batch, max_file_age))
+        .drop("hrefs")
         .writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint or _checkpoint_location(spark, parsed_path))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(parsed_path)
     )

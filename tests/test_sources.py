@@ -1,7 +1,7 @@
 import pytest
 
 from pagequarry.plans.parsed_table import read_parsed
-from pagequarry.sources import PAGES_SCHEMA, read_pages, stream_pages
+from pagequarry.sources import PAGES_SCHEMA, read_in_small_batches, read_pages, stream_pages
 from pagequarry.sources.pages import BATCH_SETTING
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,13 +26,28 @@ def test_pages_have_the_fixed_schema(spark):
 
 
 @pytest.mark.parametrize("read", [read_pages, read_parsed, stream_pages])
-def test_readers_hold_few_pages_at_a_time(spark, batch_setting, read):
+def test_readers_leave_the_session_alone(spark, batch_setting, read):
+    before = spark.conf.getAll
     path = FOLDER if read is stream_pages else f"{FOLDER}/pages.parquet"
-    read(spark, path)
-    assert spark.conf.get(BATCH_SETTING) == "64"
+    try:
+        read(spark, path)
+    except ValueError:
+        # The folder holds other tables as well.
+        assert read is stream_pages
+    assert spark.conf.getAll == before
 
 
-def test_a_batch_size_set_by_the_session_stays(spark, batch_setting):
+def test_small_batches_are_asked_for(spark, batch_setting):
+    read_in_small_batches(spark)
+    assert spark.conf.get(BATCH_SETTING) == "64"
     spark.conf.set(BATCH_SETTING, 100)
-    read_pages(spark, f"{FOLDER}/pages.parquet")
+    read_in_small_batches(spark)
     assert spark.conf.get(BATCH_SETTING) == "100"
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    read_pages(spark, f"{FOLDER}/pages.parquet").withColumnRenamed("html", "body").write.parquet(path)
+    for read in (read_pages, stream_pages):
+        with pytest.raises(ValueError, match="no column html"):
+            read(spark, path)
