@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 # Lengths whose sums are taken together before those of the blocks are.
-BLOCK = 1024
+BLOCK = 64
 
 
 @lru_cache(maxsize=1)
