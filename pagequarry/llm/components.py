@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import checkpointed
 
 
+def _least_neighbour() -> Column:
+    return F.min("b").over(Window.partitionBy("a"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest of its neighbours and itself."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("of")).agg(F.least("of", F.min("b")).alias("least"))
+    least = F.least("a", _least_neighbour())
     return (
-        both.filter("b > a").join(least, F.col("a") == F.col("of"))
-        .select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        both.withColumn("least", least).filter("b > a")
+        .select(F.col("b").alias("a"), F.col("least").alias("b"))
     )
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node ties its smaller neighbours and itself to the smallest of them."""
-    least = links.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least"))
-    tied = links.join(least, F.col("a") == F.col("of")).select(
+    tied = links.withColumn("least", _least_neighbour()).select(
         F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")
     )
     return tied.filter("a != b").distinct()
@@ -31,8 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     """Rows (node, label) for every node of ``links`` (a, b): the smallest node it reaches.
 
     Large and small stars take turns until every node hangs on its component's smallest;
-    that takes few rounds, each one job, cut off by a checkpoint. The links keep their
-    number or less, and smallest neighbours are reduced before the shuffle.
+    that takes few rounds of three shuffles, each cut off by a checkpoint. The links keep
+    their number or less; those of a node with very many spill.
     """
     links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state = F.struct(
