@@ -343,14 +343,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
         .distinct()
     )
     links = checkpointed(_verified(best, sets, threshold))
+    labels = components(links)
     for further in (
         lambda labels: promising,
         lambda labels: _the_rest(shared, nodes, labels, steps),
     ):
-        labels = components(links)
-        new = _verified(_across(further(labels), labels), sets, threshold)
-        links = checkpointed(links.union(new).distinct())
-    labels = components(links)
+        new = checkpointed(_verified(_across(further(labels), labels), sets, threshold))
+        if not new.isEmpty():
+            links = checkpointed(links.union(new).distinct())
+            labels = components(links)
     n_links = (
         links.select(F.explode(F.array("a", "b")).alias("node"))
         .groupBy("node")
