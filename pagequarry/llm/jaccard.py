@@ -11,9 +11,9 @@ their sets is at least 0.8. A class is what links connect.
    probability of reaching the threshold, from a uniform prior, falls below 1e-4, a pair
    is dropped. What is left is verified on the sets themselves.
 
-Which pairs are compared: in each bucket, in an order of its own, every node with the
-first one and with the one before it; first the most promising pair of each node, then
-those that still join two classes. Whatever pair of a bucket is then in two classes is
+Which pairs are compared: in each bucket, in an order of its own, every node with the one
+before it; first the most promising pair of each node, then those that still join two
+classes. Whatever pair of a bucket is then in two classes is
 compared as well, in blocks of bounded size, so no two classes stay apart that a link
 would join; pairs within a class need no comparison.
 
@@ -152,14 +152,13 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
-    """Rows (bucket, node, first, before) of the buckets with two nodes or more."""
+    """Rows (bucket, node, before) of the buckets with two nodes or more."""
     own_order = "partition by bucket order by xxhash64(bucket, node), node"
     return (
         _buckets(nodes)
         .select(
             "bucket",
             "node",
-            F.expr(f"first_value(node) over ({own_order})").alias("first"),
             F.expr(f"lag(node) over ({own_order})").alias("before"),
             F.expr(f"lead(node) over ({own_order})").alias("after"),
         )
@@ -326,12 +325,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
         .select("node", "first.id", "first.print", "signature")
     )
     shared = checkpointed(_shared_buckets(nodes))
-    pairs = (
-        shared.select(*_ordered("node", "first"))
-        .union(shared.filter("before IS NOT NULL").select(*_ordered("node", "before")))
-        .filter("a != b")
-        .distinct()
-    )
+    pairs = shared.filter("before IS NOT NULL").select(*_ordered("node", "before")).distinct()
     promising = checkpointed(_promising(pairs, nodes, steps))
     compared = shared.select("node").distinct()
     sets = checkpointed(_sets(docs, nodes.join(compared, "node")))
