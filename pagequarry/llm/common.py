@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
+from zipfile import ZipFile
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,22 @@ PLAIN_BREAK = r"[\x20\x09-\x0D]+"
 FOLDED_BREAK = r"[^\p{L}\p{N}]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the library to the executors, once, so that their Python can import it."""
+    context = spark.sparkContext
+    package = Path(__file__).parent.parent
+    archive = f"{package.name}.zip"
+    if archive in context._python_includes or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp()) / archive
+    with ZipFile(path, "w") as file:
+        for source in package.rglob("*.py"):
+            file.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
