@@ -343,7 +343,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     labels = components(links)
     for further in (
         lambda labels: promising,
-        lambda labels: _the_rest(shared, nodes, labels, steps),
+        # What has been verified once is not verified again.
+        lambda labels: _the_rest(shared, nodes, labels, steps).join(promising, ["a", "b"], "left_anti"),
     ):
         new = checkpointed(_verified(_across(further(labels), labels), sets, threshold))
         if not new.isEmpty():
