@@ -10,8 +10,8 @@ Two tokens stay apart if no merge across their border comes before the merges th
 build them. Only the right edge of the first and the left edge of the second matter.
 
 The vocabulary file is read on the executors, from its parameter ``path``; it must be
-there on each of them. A worker keeps the ids of recent words and of the pieces they
-split into, in two generations of a bounded number.
+there on each of them. During a task, a worker keeps the ids of recent words and of the
+pieces they split into, in two generations of a bounded number.
 """
 
 from __future__ import annotations
@@ -246,10 +246,21 @@ def _byte_alphabet() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+_encoders: list[Encoder] = []
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per worker, kept from task to task."""
-    return Encoder(path)
+    _encoders[:] = [Encoder(path)]
+    return _encoders[0]
+
+
+def forget() -> None:
+    """Let go of the words that the worker's encoder has kept."""
+    for kept in _encoders:
+        for memory in (kept.words, kept.words.older, kept.pieces, kept.pieces.older, kept.apart):
+            memory.clear()
 
 
 @lru_cache(maxsize=1)
@@ -289,6 +300,8 @@ def _mapped(
                 columns.append(pa.array((function(x.as_py()) for x in columns[-1]), arrow))
             del columns[len(kept)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        # The worker may go on to other work.
+        forget()
 
     return table.select(
         *(F.col(f"`{c}`") for c in kept), F.col(f"`{source}`").alias("__source")
