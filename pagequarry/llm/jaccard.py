@@ -141,13 +141,25 @@ def sketches(docs: DataFrame) -> DataFrame:
     ).mapInArrow(sketch, "id long, print long, node long, signature binary")
 
 
+def _bucket_keys(table: np.ndarray) -> np.ndarray:
+    """The bucket of each band, for each signature."""
+    values = table.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    return mixed((mixed(values + np.uint64(1)) * _BAND_FACTORS).sum(axis=2, dtype=np.uint64))
+
+
+def _first_met_in(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether ``bucket`` is that of the first band in which two signatures agree."""
+    agree = (a == b).reshape(-1, BANDS, ROWS).all(axis=2)
+    first = agree.argmax(axis=1)
+    return _bucket_keys(a)[np.arange(len(a)), first].view(np.int64) == bucket
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
     """Rows (bucket, node), one per band."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = _table(batch.column("signature")).astype(np.uint64).reshape(-1, BANDS, ROWS)
-            bucket = mixed((mixed(table + np.uint64(1)) * _BAND_FACTORS).sum(axis=2, dtype=np.uint64))
+            bucket = _bucket_keys(_table(batch.column("signature")))
             node = np.repeat(batch.column("node").to_numpy(), BANDS)
             yield pa.RecordBatch.from_pydict({"bucket": bucket.ravel().view(np.int64), "node": node})
 
@@ -290,6 +302,7 @@ def _the_rest(shared: DataFrame, nodes: DataFrame, labels: DataFrame, steps: lis
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
+                bucket = batch.column("bucket")[i].as_py()
                 one, other = (batch.column(c)[i].values for c in ("one", "other"))
                 node, label, table = zip(
                     *((x.field("node").to_numpy(), x.field("label").to_numpy(), _table(x.field("signature"))) for x in (one, other)),
@@ -299,13 +312,16 @@ def _the_rest(shared: DataFrame, nodes: DataFrame, labels: DataFrame, steps: lis
                 for at in range(0, len(x), 1 << 14):
                     p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
                     alive, matches = surviving(table[0][p], table[1][q], steps)
+                    # A pair that meets in several buckets is given once.
+                    new = _first_met_in(table[0][p[alive]], table[1][q[alive]], bucket)
+                    alive, matches = alive[new], matches[new]
                     a, b = node[0][p[alive]], node[1][q[alive]]
                     yield pa.RecordBatch.from_pydict(
                         {"a": np.minimum(a, b), "b": np.maximum(a, b), "matches": matches}
                     )
 
     return (
-        left.join(right, ["bucket", "with"]).select("one", "other")
+        left.join(right, ["bucket", "with"]).select("bucket", "one", "other")
         .mapInArrow(compare, "a long, b long, matches long")
         .distinct()
     )
