@@ -11,11 +11,11 @@ their sets is at least 0.8. A class is what links connect.
    probability of reaching the threshold, from a uniform prior, falls below 1e-4, a pair
    is dropped. What is left is verified on the sets themselves.
 
-Which pairs are compared: in each bucket, in an order of its own, every node with the one
-before it; first the most promising pair of each node, then those that still join two
-classes. Whatever pair of a bucket is then in two classes is
-compared as well, in blocks of bounded size, so no two classes stay apart that a link
-would join; pairs within a class need no comparison.
+Every pair of different nodes that share a bucket is compared, once, in the bucket of
+the first band in which they agree. A bucket is dealt into chunks of bounded size, and
+each two chunks meet in a block. A block gives no row per pair: a first pass says which
+nodes have promising partners in it, a second one verifies these on the sets and gives
+the number of links of each node and a tree of each class within the block.
 
 Sets and shingles are told apart by 64-bit hashes. A text without words, or null, has
 no shingles: it is linked to nothing and is a class of its own. Rows with the same id
@@ -41,7 +41,9 @@ BANDS, ROWS = 40, 6
 N_HASHES = BANDS * ROWS
 STEP = 24
 TOLERANCE = 1e-4
-CHUNK = 256
+CHUNK = 1024
+# Shingles of a chunk, about: 8 MB.
+CHUNK_SHINGLES = 1 << 20
 _FACTORS = random_words(3, SHINGLE) | np.uint64(1)
 _XOR = (random_words(4, N_HASHES) >> np.uint64(32)).astype(np.uint32)[:, None]
 _TIMES = ((random_words(5, N_HASHES) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -110,15 +112,16 @@ def _table(column: pa.Array) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Rows (id, print, node, signature); node is null without shingles."""
+    """Rows (id, print, node, signature, size); node is null without shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, offsets = flat_lists(batch.column("hashes"))
             hashes = hashes.view(np.uint64)
-            nodes, signatures = [], []
+            nodes, signatures, sizes = [], [], []
             for start, end in zip(offsets[:-1], offsets[1:], strict=True):
                 found = shingles(hashes[start:end])
+                sizes.append(len(found))
                 if len(found):
                     node = mixed(np.array([mixed(found ^ _NODE_SALT).sum(dtype=np.uint64)]))
                     nodes.append(int(node.view(np.int64)[0]))
@@ -132,13 +135,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                     batch.column("print"),
                     pa.array(nodes, pa.int64()),
                     pa.array(signatures, pa.binary()),
+                    pa.array(sizes, pa.int64()),
                 ],
-                names=["id", "print", "node", "signature"],
+                names=["id", "print", "node", "signature", "size"],
             )
 
     return docs.select(
         "id", F.xxhash64("text").alias("print"), word_hashes(F.col("text")).alias("hashes")
-    ).mapInArrow(sketch, "id long, print long, node long, signature binary")
+    ).mapInArrow(sketch, "id long, print long, node long, signature binary, size long")
 
 
 def _bucket_keys(table: np.ndarray) -> np.ndarray:
@@ -147,65 +151,139 @@ def _bucket_keys(table: np.ndarray) -> np.ndarray:
     return mixed((mixed(values + np.uint64(1)) * _BAND_FACTORS).sum(axis=2, dtype=np.uint64))
 
 
-def _first_met_in(a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
-    """Whether ``bucket`` is that of the first band in which two signatures agree."""
+def _first_met_in(a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether ``band`` is the first in which two signatures agree, for each row."""
     agree = (a == b).reshape(-1, BANDS, ROWS).all(axis=2)
-    first = agree.argmax(axis=1)
-    return _bucket_keys(a)[np.arange(len(a)), first].view(np.int64) == bucket
+    return agree.any(axis=1) & (agree.argmax(axis=1) == band)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """Rows (bucket, node), one per band."""
+    """Rows (bucket, band, node, size), one per band."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = _bucket_keys(_table(batch.column("signature")))
-            node = np.repeat(batch.column("node").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_pydict({"bucket": bucket.ravel().view(np.int64), "node": node})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": bucket.ravel().view(np.int64),
+                    "band": np.tile(np.arange(BANDS, dtype=np.int32), len(bucket)),
+                    "node": np.repeat(batch.column("node").to_numpy(), BANDS),
+                    "size": np.repeat(batch.column("size").to_numpy(), BANDS),
+                }
+            )
 
-    return nodes.select("node", "signature").mapInArrow(spread, "bucket long, node long")
+    return nodes.select("node", "signature", "size").mapInArrow(
+        spread, "bucket long, band int, node long, size long"
+    )
 
 
-def _shared_buckets(nodes: DataFrame) -> DataFrame:
-    """Rows (bucket, node, before) of the buckets with two nodes or more."""
-    own_order = "partition by bucket order by xxhash64(bucket, node), node"
-    return (
-        _buckets(nodes)
+_BLOCK = ["bucket", "x", "y"]
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by block, in runs of whole blocks, and where each block starts and ends."""
+
+    def edges(rows: pa.Table) -> np.ndarray:
+        keys = [rows.column(c).to_numpy() for c in _BLOCK]
+        changes = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return np.concatenate([[0], np.flatnonzero(changes) + 1, [rows.num_rows]])
+
+    def run(rows: pa.Table, at: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        return rows.combine_chunks().to_batches()[0], at
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        at = edges(rows)
+        # The last block may go on in the next batch.
+        rest = rows.slice(at[-2])
+        if len(at) > 2:
+            yield run(rows.slice(0, at[-2]), at[:-1])
+    if rest is not None:
+        yield run(rest, np.array([0, rest.num_rows]))
+
+
+def _meetings(part: pa.RecordBatch, edges: np.ndarray, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the two rows of each pair that meets in a block, about ``most`` at a time."""
+    x, y, chunk = (part.column(c).to_numpy() for c in ("x", "y", "chunk"))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        if x[start] == y[start]:
+            first = np.arange(start, end)
+            i, j = (first[k] for k in np.triu_indices(end - start, 1)) if end - start > 2 else (first[:1], first[1:])
+            if end - start < 2:
+                continue
+        else:
+            left = chunk[start:end] == x[start]
+            one, other = start + np.flatnonzero(left), start + np.flatnonzero(~left)
+            i, j = np.repeat(one, len(other)), np.tile(other, len(one))
+        for at in range(0, len(i), most):
+            held.append((i[at : at + most], j[at : at + most]))
+            n += len(held[-1][0])
+            if n >= most:
+                yield tuple(np.concatenate(k) for k in zip(*held, strict=True))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(k) for k in zip(*held, strict=True))
+
+
+def _promising(nodes: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Rows (bucket, x, y, node, partners): what the posterior does not rule out in a block.
+
+    Each pair is in one block, as a partner of one of its nodes; the other has a row too.
+    """
+    buckets = checkpointed(_buckets(nodes))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES))
+    shared = checkpointed(
+        buckets.groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.least(chunks, F.count("*")).cast("int").alias("n_chunks"))
+        .filter("n > 1")
+        .drop("n")
+    )
+    members = (
+        buckets.join(shared, "bucket")
+        .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("n_chunks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
         .select(
-            "bucket",
-            "node",
-            F.expr(f"lag(node) over ({own_order})").alias("before"),
-            F.expr(f"lead(node) over ({own_order})").alias("after"),
+            "bucket", "band", "node", "chunk",
+            F.least("chunk", "with").alias("x"), F.greatest("chunk", "with").alias("y"),
         )
-        .filter("before IS NOT NULL OR after IS NOT NULL")
-        .drop("after")
-    )
-
-
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _promising(pairs: DataFrame, nodes: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Rows (a, b, matches) of the pairs that the posterior does not rule out."""
+        .join(nodes.select("node", "signature"), "node")
+    )
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alive, matches = surviving(
-                _table(batch.column("one")), _table(batch.column("other")), steps
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, edges in _whole_blocks(batches):
+            node, band = part.column("node").to_numpy(), part.column("band").to_numpy()
+            table = _table(part.column("signature"))
+            found = [np.empty((2, 0), np.int64)]
+            for i, j in _meetings(part, edges):
+                new = _first_met_in(table[i], table[j], band[i])
+                i, j = i[new], j[new]
+                alive, _ = surviving(table[i], table[j], steps)
+                found.append(np.stack([i[alive], j[alive]]))
+            i, j = np.concatenate(found, axis=1)
+            rows = np.unique(np.concatenate([i, j]))
+            n = np.bincount(i, minlength=part.num_rows)[rows]
+            partners = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(n)).astype(np.int32)),
+                pa.array(node[j[np.argsort(i, kind="stable")]]),
             )
-            rows = pa.array(alive)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(rows), batch.column("b").take(rows), pa.array(matches)],
-                names=["a", "b", "matches"],
+                [*(part.column(c).take(pa.array(rows)) for c in (*_BLOCK, "node")), partners],
+                names=[*_BLOCK, "node", "partners"],
             )
 
-    one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("one"))
-    other = nodes.select(F.col("node").alias("b"), F.col("signature").alias("other"))
-    return (
-        pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
-        .mapInArrow(prune, "a long, b long, matches long")
-    )
+    return _by_block(members).mapInArrow(
+        compare, "bucket long, x int, y int, node long, partners array<long>"
+    )
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -236,26 +314,63 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _links_of(sets: np.ndarray, offsets: np.ndarray, partners: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set with partners, its index and those of the partners it is linked to.
+
+    The sets are given end to end.
+    """
+    _, dense = np.unique(sets, return_inverse=True)
+    size = np.diff(offsets)
+    marked = np.zeros(len(sets), np.int32)
+    for i, others in enumerate(partners):
+        if len(others):
+            own = dense[offsets[i] : offsets[i + 1]]
+            marked[own] = 1
+            theirs = np.concatenate([dense[offsets[j] : offsets[j + 1]] for j in others])
+            starts = np.append(0, np.cumsum(size[others])[:-1])
+            both = np.add.reduceat(marked[theirs], starts)
+            marked[own] = 0
+            yield i, others[both / (size[i] + size[others] - both) >= threshold]
+
+
+def _verified(promising: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, n) of what the blocks find, of two kinds.
+
+    Without b: the node a has n links in a block. With b: links of a block join a and b.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, at = flat_lists(batch.column("one"))
-            other, by = flat_lists(batch.column("other"))
-            good = []
-            for i in range(batch.num_rows):
-                x, y = one[at[i] : at[i + 1]], other[by[i] : by[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both / (len(x) + len(y) - both) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
-    return (
-        pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "one", "other")
-        .mapInArrow(verify, "a long, b long")
-    )
+        for part, edges in _whole_blocks(batches):
+            node = part.column("node").to_numpy()
+            partner, to = flat_lists(part.column("partners"))
+            shingle, at = flat_lists(part.column("shingles"))
+            count = np.zeros(len(node), np.int64)
+            ties: list[tuple[int, int]] = []
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                own = node[start:end]
+                order = np.argsort(own)
+                place = order[np.searchsorted(own, partner[to[start] : to[end]], sorter=order)]
+                partners = np.split(place, to[start + 1 : end] - to[start])
+                offsets = at[start : end + 1] - at[start]
+                label = np.arange(end - start)
+                for i, linked in _links_of(shingle[at[start] : at[end]], offsets, partners, threshold):
+                    count[start + i] += len(linked)
+                    count[start + linked] += 1
+                    met = np.unique(label[np.append(linked, i)])
+                    if len(met) > 1:
+                        ties += [(own[met[0]], own[k]) for k in met[1:]]
+                        label[np.isin(label, met[1:])] = met[0]
+            some = count > 0
+            a = np.concatenate([node[some], np.array([t[0] for t in ties], np.int64)])
+            b = [*[None] * int(some.sum()), *(int(t[1]) for t in ties)]
+            n = [*count[some].tolist(), *[None] * len(ties)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"]
+            )
+
+    return _by_block(promising.join(sets, "node").select(*_BLOCK, "node", "partners", "shingles")).mapInArrow(
+        verify, "a long, b long, n long"
+    )
 
 
 def _labelled(table: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
@@ -266,72 +381,11 @@ def _labelled(table: DataFrame, column: str, labels: DataFrame, name: str) -> Da
     )
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different classes."""
-    tagged = _labelled(_labelled(pairs, "a", labels, "class_a"), "b", labels, "class_b")
-    return tagged.filter("class_a != class_b").select(*pairs.columns)
-
-
-def _the_rest(shared: DataFrame, nodes: DataFrame, labels: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Promising pairs (a, b) of a bucket whose nodes are still in different classes."""
-    tagged = _labelled(shared.select("bucket", "node"), "node", labels, "label")
-    by_bucket = checkpointed(
-        tagged.groupBy("bucket")
-        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
-        .filter("x != y")
-        .select("bucket", F.ceil(F.col("n") / CHUNK).alias("n_chunks"))
-    )
-    members = (
-        checkpointed(tagged)
-        .join(by_bucket, "bucket")
-        .join(nodes.select("node", "signature"), "node")
-        .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("n_chunks")))
-    )
-    # A chunk has about CHUNK nodes, however large its bucket.
-    chunks = checkpointed(
-        members.groupBy("bucket", "n_chunks", "chunk").agg(
-            F.collect_list(F.struct("node", "label", "signature")).alias("members")
-        )
-    )
-    left = chunks.select(
-        "bucket", F.col("members").alias("one"), "chunk",
-        F.explode(F.sequence("chunk", F.col("n_chunks") - 1)).alias("with"),
-    )
-    right = chunks.select("bucket", F.col("chunk").alias("with"), F.col("members").alias("other"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                bucket = batch.column("bucket")[i].as_py()
-                one, other = (batch.column(c)[i].values for c in ("one", "other"))
-                node, label, table = zip(
-                    *((x.field("node").to_numpy(), x.field("label").to_numpy(), _table(x.field("signature"))) for x in (one, other)),
-                    strict=True,
-                )
-                x, y = np.nonzero(label[0][:, None] != label[1][None, :])
-                for at in range(0, len(x), 1 << 14):
-                    p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                    alive, matches = surviving(table[0][p], table[1][q], steps)
-                    # A pair that meets in several buckets is given once.
-                    new = _first_met_in(table[0][p[alive]], table[1][q[alive]], bucket)
-                    alive, matches = alive[new], matches[new]
-                    a, b = node[0][p[alive]], node[1][q[alive]]
-                    yield pa.RecordBatch.from_pydict(
-                        {"a": np.minimum(a, b), "b": np.maximum(a, b), "matches": matches}
-                    )
-
-    return (
-        left.join(right, ["bucket", "with"]).select("bucket", "one", "other")
-        .mapInArrow(compare, "a long, b long, matches long")
-        .distinct()
-    )
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows (id, print, class_id, n_links), one per row of ``docs`` (id, text).
 
     ``class_id`` is the smallest id of the class. ``n_links`` is the number of other sets
-    that verification has found the document's own set linked to.
+    to which the document's own set is linked, all of them.
     """
     steps = least_matches(threshold, tolerance)
     docs = docs.select("id", "text")
@@ -340,36 +394,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     nodes = checkpointed(
         rows.filter("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(first).alias("first"), F.min("signature").alias("signature"))
-        .select("node", "first.id", "first.print", "signature")
+        .agg(
+            F.min(first).alias("first"), F.min("signature").alias("signature"), F.min("size").alias("size")
+        )
+        .select("node", "first.id", "first.print", "signature", "size")
     )
-    shared = checkpointed(_shared_buckets(nodes))
-    pairs = shared.filter("before IS NOT NULL").select(*_ordered("node", "before")).distinct()
-    promising = checkpointed(_promising(pairs, nodes, steps))
-    compared = shared.select("node").distinct()
+    promising = checkpointed(_promising(nodes, steps))
+    compared = promising.select("node").distinct()
     sets = checkpointed(_sets(docs, nodes.join(compared, "node")))
-    best = (
-        promising.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "matches")
-        .groupBy("node")
-        .agg(F.max(F.struct("matches", "a", "b")).alias("best"))
-        .select("best.a", "best.b")
-        .distinct()
-    )
-    links = checkpointed(_verified(best, sets, threshold))
-    labels = components(links)
-    for further in (
-        lambda labels: promising,
-        # What has been verified once is not verified again.
-        lambda labels: _the_rest(shared, nodes, labels, steps).join(promising, ["a", "b"], "left_anti"),
-    ):
-        new = checkpointed(_verified(_across(further(labels), labels), sets, threshold))
-        if not new.isEmpty():
-            links = checkpointed(links.union(new).distinct())
-            labels = components(links)
+    found = checkpointed(_verified(promising, sets, threshold))
+    labels = components(found.filter("b IS NOT NULL").select("a", "b"))
     n_links = (
-        links.select(F.explode(F.array("a", "b")).alias("node"))
-        .groupBy("node")
-        .agg(F.count("*").alias("n_links"))
+        found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     )
     tagged = _labelled(nodes.select("node", "id"), "node", labels, "label")
     by_class = tagged.groupBy("label").agg(F.min("id").alias("class_id"))
@@ -380,7 +416,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
         "id",
         "print",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.col("node").isNull().alias("alone"),
     )
 

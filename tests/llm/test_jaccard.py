@@ -71,6 +71,22 @@ def test_against_brute_force(table, rows, monkeypatch):
     assert all(found[i].n_links == 0 for i in alone)
 
 
+def test_no_link_is_lost(table, rows, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", 8)
+    # All of a class linked to all others.
+    rows = rows + [(4000 + k, " ".join(WORDS * 4 + [f"end{k}"]), None) for k in range(40)]
+    docs = table(rows).selectExpr("doc_id AS id", "text")
+    found = {r.id: r.n_links for r in op.near_duplicates(docs).collect()}
+    sets = shingle_sets(rows)
+    different = set(sets.values())
+    want = {
+        i: sum(a != b and len(a & b) >= 0.8 * len(a | b) for b in different) if a else 0
+        for i, a in sets.items()
+    }
+    assert found == want
+    assert want[4000] == 39
+
+
 def test_one_of_each_class_stays(table, rows):
     docs = table(rows)
     kept = op.drop_near_duplicates(docs)
