@@ -1,15 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Documents are ordered by id. Each line of a document, numbered when the document has
-it several times, links to the first document that holds it. Such links find every
-overlapping pair that matters, the rarest lines (held by two documents) as well as the
-commonest: a line costs one link per holder, so no limit on how common it may be is
-needed, where pairs of all holders would need one.
-
-For each pair so linked, patience diff aligns the shared lines: numbered lines occur
-once on either side, so the longest chain that rises in both documents is the
+Documents are ordered by id. A document whose lines are those of an earlier one, in the
+same order, is its copy: it goes whole, and only the first copy takes part in what follows.
+
+Partners are found through rare lines: any two documents that share a line held by at
+most ``RARE`` of them are aligned, the later with the earlier, on all lines they share. A
+line that more documents hold would give too many pairs; each line, whatever its number
+of holders, also links to the first document that holds it, one link per holder, and the
+lines linked to one document are aligned with it.
+
+Patience diff aligns: lines are numbered when a document has them several times, so each
+occurs once on either side, and the longest chain that rises in both documents is the
 alignment. Aligned blocks of at least ``MIN_WORDS`` words are deleted from the later
-document. Lines that cross the alignment stay.
+document. Lines that cross every alignment stay.
 
 Lines are compared without outer white space by two 64-bit hashes. Blank lines take no
 part. A null text has no lines and stays null; a text whose lines are all deleted
@@ -23,14 +26,17 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import PLAIN_BREAK, checkpointed, words
+from pagequarry.llm.common import PLAIN_BREAK, checkpointed, flat_lists, mixed, words
 
 # Shorter lines recur by chance.
 MIN_WORDS = 4
+# Documents that may hold a line for it to find partners.
+RARE = 4
 
 
 def longest_chain(pairs: list[tuple[int, int]]) -> list[int]:
@@ -54,18 +60,12 @@ def longest_chain(pairs: list[tuple[int, int]]) -> list[int]:
 
 
 def removed_lines(
-    links: list[tuple[object, int, int, int]], min_words: int
+    pairs: list[tuple[int, int]], n_words: dict[int, int], min_words: int
 ) -> list[int]:
-    """Positions to delete, given (earlier document, position, position there, words)."""
-    by_partner: dict[object, list[tuple[int, int]]] = {}
-    n_words = {}
-    for partner, here, there, n in links:
-        by_partner.setdefault(partner, []).append((here, there))
-        n_words[here] = n
-    aligned = sorted(line for pairs in by_partner.values() for line in longest_chain(pairs))
+    """Lines to delete of a document aligned with another by ``pairs`` (line, line there)."""
     removed: list[int] = []
     block: list[int] = []
-    for line in [*aligned, None]:
+    for line in [*longest_chain(pairs), None]:
         if block and (line is None or line != block[-1] + 1):
             if sum(n_words[x] for x in block) >= min_words:
                 removed += block
@@ -74,75 +74,182 @@ def removed_lines(
     return removed
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row per document, line and occurrence of it."""
-    lines = docs.select(
-        "id", "print", F.posexplode(F.split("text", "\n")).alias("position", "line")
-    ).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\f\x0b")))
-    return (
-        lines.filter("line != ''")
-        .groupBy(
-            "id",
-            "print",
-            F.xxhash64("line").alias("h1"),
-            F.xxhash64("line", F.lit(1)).alias("h2"),
-        )
-        # The same row given twice adds nothing to a set.
-        .agg(
-            F.array_sort(F.collect_set("position")).alias("positions"),
-            F.any_value(F.size(words(F.col("line"), PLAIN_BREAK))).alias("n_words"),
-        )
-        .select("id", "print", "h1", "h2", "n_words", F.posexplode("positions").alias("k", "position"))
+_LINES = "id long, print long, position array<int>, h1 array<long>, h2 array<long>, k array<int>, n_words array<int>"
+
+
+def _line_lists(docs: DataFrame) -> DataFrame:
+    """One row per document with the lists of its lines that aren't blank.
+
+    ``h1`` has the number of the occurrence, ``k``, mixed in.
+    """
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(i.alias("position"), F.trim(line, F.lit(" \t\r\f\x0b")).alias("line")),
+    )
+    listed = docs.select("id", "print", F.filter(lines, lambda x: x["line"] != "").alias("lines"))
+    listed = listed.filter(F.size("lines") > 0).select(
+        "id",
+        "print",
+        F.col("lines.position").alias("position"),
+        F.transform("lines", lambda x: F.xxhash64(x["line"])).alias("h1"),
+        F.transform("lines", lambda x: F.xxhash64(x["line"], F.lit(1))).alias("h2"),
+        F.transform("lines", lambda x: F.size(words(x["line"], PLAIN_BREAK))).alias("n_words"),
+    )
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, at = flat_lists(batch.column("h1"))
+            h2, _ = flat_lists(batch.column("h2"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            order = np.lexsort((np.arange(len(h1)), h2, h1, row))
+            new = np.ones(len(h1), bool)
+            same = [x[order][1:] == x[order][:-1] for x in (row, h1, h2)]
+            new[1:] = ~np.all(same, axis=0)
+            starts = np.flatnonzero(new)
+            k = np.empty(len(h1), np.int64)
+            k[order] = np.arange(len(h1)) - np.repeat(starts, np.diff(np.append(starts, len(h1))))
+            key = mixed(h1.view(np.uint64) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            offsets = pa.array(at.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (key, h2, k.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("id", "print", "position")),
+                    *lists,
+                    batch.column("n_words"),
+                ],
+                names=["id", "print", "position", "h1", "h2", "k", "n_words"],
+            )
+
+    # The same row given twice is one document.
+    return listed.mapInArrow(number, _LINES).dropDuplicates(["id", "print"])
+
+
+def _place(*more: str) -> Column:
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "print", *more)
+
+
+def _pairs(batch: pa.RecordBatch, i: int) -> list[tuple[int, int]]:
+    """Lines that both documents of a row hold, numbered from 0 in either."""
+    here, there = (
+        zip(batch.column(f"h1{c}")[i].values.to_pylist(), batch.column(f"h2{c}")[i].values.to_pylist(), strict=True)
+        for c in ("", "_there")
     )
+    place = {key: n for n, key in enumerate(there)}
+    return [(n, place[key]) for n, key in enumerate(here) if key in place]
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (id, print, removed) for the documents (id, print, text) that lose lines."""
-    lines = checkpointed(_occurrences(docs))
-    place = F.struct(
-        F.col("id").isNull().alias("no_id"), "id", "print", F.col("position").alias("there")
+    lists = checkpointed(_line_lists(docs))
+    whole = [F.xxhash64("h1").alias("whole1"), F.xxhash64("h2", F.lit(1)).alias("whole2")]
+    texts = lists.select("id", "print", *whole)
+    first_copy = checkpointed(
+        texts.groupBy("whole1", "whole2")
+        .agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+        .filter("n > 1")
+    )
+    copies = checkpointed(
+        texts.join(first_copy, ["whole1", "whole2"])
+        .filter(_place() != F.col("first"))
+        .select(F.col("id").alias("copy_id"), F.col("print").alias("copy_print"))
+    )
+    is_copy = F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("print") == F.col("copy_print"))
+    total = F.aggregate("n_words", F.lit(0), lambda s, n: s + n)
+    of_copies = (
+        lists.join(copies, is_copy, "left_semi").filter(total >= min_words)
+        .select("id", "print", F.col("position").alias("removed"))
+    )
+    own = lists.join(copies, is_copy, "left_anti")
+    # One row per document and occurrence of a line.
+    lines = checkpointed(
+        own.select(
+            "id", "print", F.posexplode(F.arrays_zip("h1", "h2", "k", "n_words", "position")).alias("line", "x")
+        ).select("id", "print", "line", "x.*")
     )
     # A table of its own, so that adaptive execution can split what a hot line joins.
     first = checkpointed(
-        lines.groupBy("h1", "h2", "k")
-        .agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        lines.groupBy("h1", "h2")
+        .agg(F.min(_place("position", "line")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
         .select(
-            "h1", "h2", "k",
+            "h1", "h2", "n",
             F.col("first.id").alias("first_id"),
             F.col("first.print").alias("first_print"),
-            F.col("first.there").alias("there"),
+            F.col("first.position").alias("there"),
+            F.col("first.line").alias("line_there"),
+        )
+    )
+    # The first occurrence of a line is held by whatever document holds the line.
+    partners = (
+        lines.filter("k = 0").select("h1", "h2", "id", "print")
+        .join(first.filter(F.col("n") <= RARE).select("h1", "h2"), ["h1", "h2"])
+        .groupBy("h1", "h2").agg(F.sort_array(F.collect_list(_place())).alias("holders"))
+        .select(F.posexplode("holders").alias("n", "later"), "holders")
+        .select("later", F.explode(F.slice("holders", F.lit(1), F.col("n"))).alias("earlier"))
+        .select(
+            "later.id", "later.print",
+            F.col("earlier.id").alias("id_there"), F.col("earlier.print").alias("print_there"),
         )
+        .distinct()
+    )
+    here = own.select(F.col("id").alias("own_id"), F.col("print").alias("own_print"), "position", "h1", "h2", "n_words")
+    there = own.select(
+        F.col("id").alias("its_id"), F.col("print").alias("its_print"),
+        *(F.col(c).alias(f"{c}_there") for c in ("position", "h1", "h2")),
     )
-    links = lines.join(first, ["h1", "h2", "k"]).filter(
+    met = (
+        partners.join(here, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("print") == F.col("own_print")))
+        .join(there, F.col("id_there").eqNullSafe(F.col("its_id")) & (F.col("print_there") == F.col("its_print")))
+        .select("id", "print", "position", "h1", "h2", "n_words", "position_there", "h1_there", "h2_there")
+    )
+
+    def align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed = []
+            for i in range(batch.num_rows):
+                at, at_there, n = (batch.column(c)[i].values.to_pylist() for c in ("position", "position_there", "n_words"))
+                pairs = [(at[x], at_there[y]) for x, y in _pairs(batch, i)]
+                removed.append(removed_lines(pairs, dict(zip(at, n, strict=True)), min_words))
+            yield _removed(batch, removed)
+
+    links = lines.join(first, ["h1", "h2"]).filter(
         ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("print") == F.col("first_print")))
     )
     # No longer than the document is.
     per_doc = links.groupBy("id", "print").agg(
-        F.collect_list(F.struct("first_id", "first_print", "position", "there", "n_words")).alias(
-            "links"
-        )
+        F.collect_list(
+            F.struct("first_id", "first_print", "position", "there", "n_words")
+        ).alias("links")
     )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed = [
-                removed_lines(
-                    [
-                        ((x["first_id"], x["first_print"]), x["position"], x["there"], x["n_words"])
-                        for x in links
-                    ],
-                    min_words,
+            removed = []
+            for links in batch.column("links").to_pylist():
+                by_partner: dict[tuple, list[tuple[int, int]]] = {}
+                n_words = {x["position"]: x["n_words"] for x in links}
+                for x in links:
+                    pair = x["position"], x["there"]
+                    by_partner.setdefault((x["first_id"], x["first_print"]), []).append(pair)
+                removed.append(
+                    [x for pairs in by_partner.values() for x in removed_lines(pairs, n_words, min_words)]
                 )
-                for links in batch.column("links").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("print"), pa.array(removed, pa.list_(pa.int32()))],
-                names=["id", "print", "removed"],
-            )
+            yield _removed(batch, removed)
+
+    schema = "id long, print long, removed array<int>"
+    found = met.mapInArrow(align_pairs, schema).union(per_doc.mapInArrow(align, schema))
+    return (
+        found.filter(F.size("removed") > 0)
+        .select("id", "print", F.explode("removed").alias("line"))
+        .groupBy("id", "print").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+        .union(of_copies)
+    )
+
 
-    return per_doc.mapInArrow(align, "id long, print long, removed array<int>").filter(
-        F.size("removed") > 0
+def _removed(batch: pa.RecordBatch, removed: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [batch.column("id"), batch.column("print"), pa.array(removed, pa.list_(pa.int32()))],
+        names=["id", "print", "removed"],
     )
 
 

@@ -67,6 +67,50 @@ def test_crossing_lines_stay(table):
     assert {r.doc_id: r.text for r in op.dedup_lines(docs).collect()}[2] == c
 
 
+def brute_pairs(texts, min_words=4):
+    """Lines of each document that an alignment with any earlier one deletes."""
+
+    def lines(text):
+        seen, out = {}, {}
+        for at, line in enumerate(text.split("\n")):
+            out[line, seen.get(line, 0)] = at
+            seen[line] = seen.get(line, 0) + 1
+        return out
+
+    gone = {doc: set() for doc in texts}
+    for later in texts:
+        for earlier in texts:
+            if earlier < later:
+                here, there = lines(texts[later]), lines(texts[earlier])
+                pairs = [(at, there[key]) for key, at in here.items() if key in there]
+                gone[later] |= set(op.longest_chain(pairs))
+    return gone
+
+
+def test_a_copy_of_a_later_document_goes_whole(table):
+    a, b = "the first long line here", "the second long line here"
+    texts = {1: f"{a}\n{b}", 2: f"{b}\n{a}", 3: f"{b}\n{a}"}
+    # More copies than a rare line may have holders.
+    texts |= {k: texts[2] for k in range(4, 12)}
+    # Not a copy, but all its shared lines are those of 2.
+    texts[12] = f"{b}\nonly here and nowhere else\n{a}"
+    found = op.dedup_lines(table([(i, t, None) for i, t in texts.items()]), removed="removed").collect()
+    assert {r.doc_id: set(r.removed) for r in found} == brute_pairs(texts)
+
+
+def test_against_brute_force_over_pairs(table):
+    rng = random.Random(7)
+    texts = {}
+    for i in range(20):
+        # Lines in another order, each in at most four documents, and copies of a part.
+        own = [f"line {i} {j} of a few words" for j in range(8)]
+        for k in range(4):
+            part = rng.sample(own, rng.randrange(3, 9)) if k < 2 else rng.choice([texts[4 * i], texts[4 * i + 1]]).split("\n")[: rng.randrange(2, 9)]
+            texts[4 * i + k] = "\n".join([*part, f"only in {i} {k} and no other"])
+    found = op.dedup_lines(table([(i, t, None) for i, t in texts.items()]), removed="removed").collect()
+    assert {r.doc_id: set(r.removed) for r in found} == brute_pairs(texts)
+
+
 def test_odd_rows(table, odd_rows):
     docs = table(odd_rows)
     found = op.dedup_lines(docs)
