@@ -11,8 +11,8 @@ lines linked to one document are aligned with it.
 
 Patience diff aligns: lines are numbered when a document has them several times, so each
 occurs once on either side, and the longest chain that rises in both documents is the
-alignment. Aligned blocks of at least ``MIN_WORDS`` words are deleted from the later
-document. Lines that cross every alignment stay.
+alignment. Aligned blocks of at least ``MIN_WORDS`` words, consecutive in both documents
+but for blank lines, are deleted from the later one. Lines that cross every alignment stay.
 
 Lines are compared without outer white space by two 64-bit hashes. Blank lines take no
 part. A null text has no lines and stays null; a text whose lines are all deleted
@@ -63,10 +63,11 @@ def removed_lines(
     pairs: list[tuple[int, int]], n_words: dict[int, int], min_words: int
 ) -> list[int]:
     """Lines to delete of a document aligned with another by ``pairs`` (line, line there)."""
+    place = dict(pairs)
     removed: list[int] = []
     block: list[int] = []
     for line in [*longest_chain(pairs), None]:
-        if block and (line is None or line != block[-1] + 1):
+        if block and (line is None or line != block[-1] + 1 or place[line] != place[block[-1]] + 1):
             if sum(n_words[x] for x in block) >= min_words:
                 removed += block
             block = []
@@ -169,14 +170,13 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # A table of its own, so that adaptive execution can split what a hot line joins.
     first = checkpointed(
         lines.groupBy("h1", "h2")
-        .agg(F.min(_place("position", "line")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(_place("line")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
         .select(
             "h1", "h2", "n",
             F.col("first.id").alias("first_id"),
             F.col("first.print").alias("first_print"),
-            F.col("first.position").alias("there"),
-            F.col("first.line").alias("line_there"),
+            F.col("first.line").alias("there"),
         )
     )
     # The first occurrence of a line is held by whatever document holds the line.
@@ -195,21 +195,21 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     here = own.select(F.col("id").alias("own_id"), F.col("print").alias("own_print"), "position", "h1", "h2", "n_words")
     there = own.select(
         F.col("id").alias("its_id"), F.col("print").alias("its_print"),
-        *(F.col(c).alias(f"{c}_there") for c in ("position", "h1", "h2")),
+        *(F.col(c).alias(f"{c}_there") for c in ("h1", "h2")),
     )
     met = (
         partners.join(here, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("print") == F.col("own_print")))
         .join(there, F.col("id_there").eqNullSafe(F.col("its_id")) & (F.col("print_there") == F.col("its_print")))
-        .select("id", "print", "position", "h1", "h2", "n_words", "position_there", "h1_there", "h2_there")
+        .select("id", "print", "position", "h1", "h2", "n_words", "h1_there", "h2_there")
     )
 
     def align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed = []
             for i in range(batch.num_rows):
-                at, at_there, n = (batch.column(c)[i].values.to_pylist() for c in ("position", "position_there", "n_words"))
-                pairs = [(at[x], at_there[y]) for x, y in _pairs(batch, i)]
-                removed.append(removed_lines(pairs, dict(zip(at, n, strict=True)), min_words))
+                at, n = (batch.column(c)[i].values.to_pylist() for c in ("position", "n_words"))
+                gone = removed_lines(_pairs(batch, i), dict(enumerate(n)), min_words)
+                removed.append([at[line] for line in gone])
             yield _removed(batch, removed)
 
     links = lines.join(first, ["h1", "h2"]).filter(
@@ -218,7 +218,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # No longer than the document is.
     per_doc = links.groupBy("id", "print").agg(
         F.collect_list(
-            F.struct("first_id", "first_print", "position", "there", "n_words")
+            F.struct("first_id", "first_print", "line", "there", "position", "n_words")
         ).alias("links")
     )
 
@@ -227,12 +227,13 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             removed = []
             for links in batch.column("links").to_pylist():
                 by_partner: dict[tuple, list[tuple[int, int]]] = {}
-                n_words = {x["position"]: x["n_words"] for x in links}
+                n_words = {x["line"]: x["n_words"] for x in links}
+                at = {x["line"]: x["position"] for x in links}
                 for x in links:
-                    pair = x["position"], x["there"]
+                    pair = x["line"], x["there"]
                     by_partner.setdefault((x["first_id"], x["first_print"]), []).append(pair)
                 removed.append(
-                    [x for pairs in by_partner.values() for x in removed_lines(pairs, n_words, min_words)]
+                    [at[x] for pairs in by_partner.values() for x in removed_lines(pairs, n_words, min_words)]
                 )
             yield _removed(batch, removed)
 

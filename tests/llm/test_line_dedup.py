@@ -61,6 +61,19 @@ def test_blocks_shorter_than_a_few_words_stay(table):
     assert {r.doc_id: r.text for r in op.dedup_lines(block).collect()}[2] == "more"
 
 
+def test_blocks_run_over_blank_lines_and_on_both_sides(table):
+    def left(*texts):
+        docs = table([(i, t, None) for i, t in enumerate(texts)])
+        return {r.doc_id: r.text for r in op.dedup_lines(docs).collect()}[len(texts) - 1]
+
+    # A title between blank lines goes with what is around it.
+    text = "a title\n\nfour words are enough\n\nthat it"
+    assert left(text, text + "\nmore") == "\n\nmore"
+    # Neighbours of different partners, or far apart in one, are no common block.
+    assert left("two words", "and two", "two words\nand two\nmy own") == "two words\nand two\nmy own"
+    assert left("two words\nnot this\nand two", "two words\nand two\nmy own") == "two words\nand two\nmy own"
+
+
 def test_crossing_lines_stay(table):
     a, b, c = "the first long line here", "the second long line here", "the third long line here"
     docs = table([(1, f"{a}\n{b}\n{c}", None), (2, f"{c}\n{a}\n{b}", None)])
