@@ -11,8 +11,9 @@ the nearest it meets.
 
 Search. A query starts at its own node or, if it has none, at random ones; all queries
 advance together. In each step the nearest nodes not yet visited of each query are
-joined with their neighbours, until the ``POOL`` nearest found are all visited or
-``STEPS`` have passed.
+joined with their neighbours, until the nearest found, as many as ``pool_size`` says, are
+all visited. That number follows the number of nodes, so that the share of the vectors
+that is scored, on which recall depends, does not fall as the table grows.
 
 Equal vectors are one node, which stands for as many of its smallest ids as an answer
 can hold, so a vector that a third of all rows hold is no crowd. An id given more than
@@ -40,11 +41,17 @@ ROUNDS = 4
 MEETINGS = 6
 POOL = 360
 WIDTH = 48
-STEPS = 8
+# Nodes for each place of a pool, from the size at which POOL no longer suffices.
+NODES_PER_PLACE = 140
 RESCORED = 3
 _PADDED = 256
 
 
+def pool_size(n: int) -> int:
+    """How many of the nearest found each query keeps and visits among ``n`` nodes."""
+    return max(POOL, -(-n // NODES_PER_PLACE))
+
+
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
     """Rows (id, vector) that take part."""
     x = F.col(f"`{vector}`").cast("array<double>")
@@ -260,12 +267,14 @@ def build(nodes: DataFrame, width: int, largest: float, n: int) -> tuple[DataFra
 _STATE = "query long, vector array<float>, ids array<long>, scores array<float>, visited array<boolean>"
 
 
-def _advance(state: DataFrame, adjacent: DataFrame, width: int) -> DataFrame:
+def _advance(state: DataFrame, adjacent: DataFrame, width: int, pool: int) -> DataFrame:
     """``state`` after one step of all queries."""
+    # A larger pool takes no more steps.
+    abreast = max(WIDTH, WIDTH * pool // POOL)
     nearest = F.slice(
-        F.filter(F.arrays_zip("ids", "visited"), lambda x: ~x["visited"])["ids"], 1, WIDTH
+        F.filter(F.arrays_zip("ids", "visited"), lambda x: ~x["visited"])["ids"], 1, abreast
     )
-    floor = F.when(F.size("scores") < POOL, F.lit(-2.0)).otherwise(F.element_at("scores", -1))
+    floor = F.when(F.size("scores") < pool, F.lit(-2.0)).otherwise(F.element_at("scores", -1))
     frontier = state.select("query", "vector", floor.alias("floor"), F.explode(nearest).alias("at"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,12 +317,12 @@ def _advance(state: DataFrame, adjacent: DataFrame, width: int) -> DataFrame:
                     for c in ("ids", "scores", "visited", "new_ids", "new_scores")
                 )
                 visited = visited.copy()
-                visited[np.flatnonzero(~visited)[:WIDTH]] = True
+                visited[np.flatnonzero(~visited)[:abreast]] = True
                 all_ids = np.concatenate([ids, new_ids])
                 all_scores = np.concatenate([scores, new_scores])
                 # The first of equal ids is the one that may have been visited.
                 all_ids, first = np.unique(all_ids, return_index=True)
-                order = np.lexsort((all_ids, -all_scores[first]))[:POOL]
+                order = np.lexsort((all_ids, -all_scores[first]))[:pool]
                 columns["ids"].append(all_ids[order])
                 columns["scores"].append(all_scores[first][order])
                 columns["visited"].append(np.append(visited, np.zeros(len(new_ids), bool))[first][order])
@@ -335,6 +344,17 @@ def _advance(state: DataFrame, adjacent: DataFrame, width: int) -> DataFrame:
     )
 
 
+def search(state: DataFrame, adjacent: DataFrame, width: int, pool: int) -> DataFrame:
+    """``state`` when every query has visited all of its pool.
+
+    It ends, as what has left a full pool scores no more than its worst and that never
+    falls, so nothing comes back.
+    """
+    while not state.filter(F.exists("visited", lambda x: ~x)).isEmpty():
+        state = checkpointed(_advance(state, adjacent, width, pool))
+    return state
+
+
 def nearest(
     table: DataFrame,
     queries: DataFrame,
@@ -380,11 +400,7 @@ def nearest(
             F.array(F.lit(False)).alias("visited"),
         )
     )
-    state = checkpointed(state)
-    for _ in range(STEPS):
-        state = checkpointed(_advance(state, adjacent, width))
-        if state.filter(F.exists("visited", lambda x: ~x)).isEmpty():
-            break
+    state = search(checkpointed(state), adjacent, width, pool_size(about.n))
     adjacent.unpersist()
     # Nodes to score on the original vectors, more than are asked for.
     found = state.select("query", F.explode(F.slice("ids", 1, RESCORED * k + 1)).alias("candidate"))

@@ -66,3 +66,25 @@ def test_many_equal_vectors(spark):
     got, want = found(frame(spark, rows), queries, 20), brute(rows, queries, 20)
     assert got[0] == want[0] and got[299] == want[299]
     assert recall(got, want) > 0.95
+
+
+def test_search_goes_on_until_the_pool_is_visited(spark, monkeypatch):
+    monkeypatch.setattr(op, "WIDTH", 1)
+    monkeypatch.setattr(op, "POOL", 4)
+    # Each node knows only the next on a half circle; the answer is at the other end.
+    n = 14
+    angle = np.linspace(0, np.pi, n)
+    packed = [x.tobytes() for x in op._bytes(np.column_stack([np.cos(angle), np.sin(angle)]) * 0.9, 1.0)]
+    near = [[j for j in (i - 1, i + 1) if 0 <= j < n] for i in range(n)]
+    adjacent = spark.createDataFrame(
+        [(i, js, [-2.0] * len(js), [bytearray(packed[j]) for j in js]) for i, js in enumerate(near)],
+        "node long, ids array<long>, floors array<float>, table array<binary>",
+    )
+    state = spark.createDataFrame([(0, [-0.9, 0.0], [0], [-0.81], [False])], op._STATE)
+    found = op.search(state, adjacent, 2, 4).first()
+    assert found.ids == [n - 1, n - 2, n - 3, n - 4] and all(found.visited)
+
+
+def test_the_pool_follows_the_number_of_nodes():
+    assert op.pool_size(100) == op.POOL
+    assert op.pool_size(3_000_000) >= 3_000_000 / op.NODES_PER_PLACE
