@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, chat, decontaminate, jaccard, language_id, line_dedup, neighbours, substring_dedup, token_counts, toxicity
+from pagequarry.llm import (
+    bpe,
+    chat,
+    conversation_repair,
+    conversation_trie,
+    decontaminate,
+    jaccard,
+    language_id,
+    line_dedup,
+    neighbours,
+    oracle,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from pagequarry.llm.common import checkpointed, crc_remainder, read
+from pagequarry.llm.ordering import digests
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,6 +147,87 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) with the faults that a hash of conversation and turn deals."""
+    known = turns.select(
+        "conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text"))
+    )
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    fault = F.crc32(name) % 20
+    return known.withColumn("fault", fault).filter("fault != 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "")
+        .when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text"))
+        .alias("text"),
+        F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = read(spark, folder, "conversations")
+    turns = damaged(given)
+    audits, repaired = conversation_repair.repair(turns)
+    lines = repaired.withColumn("line", F.concat("role", F.lit(":"), "text"))
+    digest = digests(lines, ["conv_id"], ["at", "place"], "line", "\n")
+    gaps = (
+        turns.groupBy("conv_id", "turn").agg(F.lit(1))
+        .groupBy("conv_id")
+        .agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
+    )
+    found = given.select("conv_id").distinct()
+    for part in (gaps, audits, digest):
+        part = part.withColumnRenamed("conv_id", "its_id")
+        found = found.join(part, F.col("conv_id").eqNullSafe(F.col("its_id")), "left").drop("its_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All conversations of ``turns`` and their sequences, the first turns taken from another.
+
+    Conversation c begins with the first h turns of conversation c - c % 20, where h is the
+    crc32 of c modulo 4, and goes on with its own after the first h.
+    """
+    turn = ("h1", "h2", "words")
+    own = conversation_trie.sequences(turns)
+    heads = own.filter("depth <= 3").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("depth", *turn))).alias("head")
+    )
+    heads = checkpointed(heads)
+    convs = (
+        heads.select(
+            "conv_id",
+            (F.col("conv_id") - F.col("conv_id") % 20).alias("base_id"),
+            (F.crc32(F.col("conv_id").cast("string")) % 4).alias("h"),
+        )
+        .join(heads.select(F.col("conv_id").alias("base_id"), F.col("head").alias("lent")), "base_id", "left")
+        .select(
+            "conv_id", "h",
+            F.slice(F.coalesce("lent", F.array().cast(heads.schema["head"].dataType)), F.lit(1), F.col("h").cast("int")).alias("lent"),
+        )
+    )
+    convs = checkpointed(convs)
+    lent = convs.select("conv_id", F.explode("lent").alias("x")).select("conv_id", "x.*")
+    rest = (
+        own.join(convs.select("conv_id", "h", F.size("lent").alias("n_lent")), "conv_id")
+        .filter("depth > h")
+        .select("conv_id", (F.col("depth") - F.col("h") + F.col("n_lent")).alias("depth"), *turn)
+    )
+    return convs.select("conv_id"), lent.union(rest)
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.trie(*rebuilt(read(spark, folder, "conversations")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     # Imported here, as that module takes its helpers from this one.
     import corpus_pipeline
@@ -150,6 +246,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_conversation_trie": op13_conversation_trie,
     "pipeline": pipeline,
 }
 
@@ -196,4 +294,6 @@ SELECT d.doc_id,
               ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(ps, i)] END,
          ' ')) AS kept_sha256
 FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id""",
+    "op11_conversation_repair": oracle.CONVERSATION_REPAIR,
+    "op13_conversation_trie": oracle.CONVERSATION_TRIE,
 }
