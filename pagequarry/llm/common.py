@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 from zipfile import ZipFile
@@ -60,6 +61,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and the folder, to be deleted."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def words(text: Column, pattern: str = PLAIN_BREAK) -> Column:
     """Array of the words of ``text``; empty for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), pattern), "")

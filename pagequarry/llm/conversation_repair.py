@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import PLAIN_BREAK, checkpointed
-from pagequarry.llm.ordering import in_order
+from pagequarry.llm.ordering import in_order, n_parts
 
 PIECE = 4096
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
@@ -214,7 +214,8 @@ def _pieces(turns: DataFrame, piece: int) -> DataFrame:
 
     return (
         turns.select("conv_id", "part", "pos", "initial", "fault")
-        .repartition("part")
+        # As many tasks as there are: the rows are small, but not the work.
+        .repartition(n_parts(turns), "part")
         .sortWithinPartitions("part", "pos")
         .mapInArrow(run, _PIECES)
     )

@@ -20,6 +20,10 @@ from pagequarry.llm.common import checkpointed
 WITHIN_PART = 33
 
 
+def n_parts(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def in_order(rows: DataFrame, group: str, by: list[str]) -> DataFrame:
     """``rows`` with ``part`` and ``pos``, kept in the shared folder.
 
@@ -27,12 +31,11 @@ def in_order(rows: DataFrame, group: str, by: list[str]) -> DataFrame:
     ``part`` has a bounded share of all rows, in one run of positions. The columns of ``by``
     reach the driver in a sample of fixed size, so they must be short.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Tells equal rows apart, so that they too can be dealt to several tasks.
     order = [F.col(c).asc_nulls_first() for c in (group, *by, "__salt")]
     dealt = (
         rows.withColumn("__salt", F.monotonically_increasing_id())
-        .repartitionByRange(parts, *order)
+        .repartitionByRange(n_parts(rows), *order)
         .sortWithinPartitions(*order)
         .drop("__salt")
     )

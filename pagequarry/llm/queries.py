@@ -18,6 +18,7 @@ from pagequarry.llm import (
     line_dedup,
     neighbours,
     oracle,
+    quality_rules,
     substring_dedup,
     token_counts,
     toxicity,
@@ -190,6 +191,22 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, folder, "documents").select("doc_id", "lang", "text")
+    measured = quality_rules.measured(
+        docs,
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return quality_rules.judged(measured, "lang").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", *quality_rules.MEASURES,
+    )
+
+
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All conversations of ``turns`` and their sequences, the first turns taken from another.
 
@@ -247,6 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_rules": op12_quality_rules,
     "op13_conversation_trie": op13_conversation_trie,
     "pipeline": pipeline,
 }
