@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 PAGES_SCHEMA = StructType(
@@ -15,6 +16,9 @@ PAGES_SCHEMA = StructType(
     ]
 )
 
+# What a column reads as in a file that lacks it, as SQL; no page has such values.
+_LACKING = {"page_id": "-9223372036854775808L", "url": "'\\u0000no column'", "html": "'\\u0000no column'"}
+
 BATCH_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
 ROWS_PER_BATCH = 64
 NEVER_TOO_OLD = "36500d"
@@ -33,17 +37,39 @@ def read_in_small_batches(spark: SparkSession) -> None:
 
 
 def _check_columns(spark: SparkSession, path: str) -> None:
-    """With a fixed schema, a column that is missing would read as null."""
+    """Tell at once, from one footer, what reading would tell later."""
     found = spark.read.parquet(path).columns
     missing = [c for c in PAGES_SCHEMA.names if c not in found]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(found)}")
 
 
+def _strict_schema() -> StructType:
+    """``PAGES_SCHEMA`` with defaults that stand for a column that a file does not have.
+
+    Without a default such a column would read as null, like a value that is null.
+    """
+    marks = {c: {"EXISTS_DEFAULT": x, "CURRENT_DEFAULT": x} for c, x in _LACKING.items()}
+    return StructType([StructField(f.name, f.dataType, True, marks[f.name]) for f in PAGES_SCHEMA])
+
+
+def _strict(pages: DataFrame) -> DataFrame:
+    """``pages`` read by ``_strict_schema``; reading a column that a file lacks fails."""
+
+    def value(name: str) -> Column:
+        message = F.lit(f"a file of the pages has no column {name}")
+        return F.when(F.col(name) == F.expr(_LACKING[name]), F.raise_error(message)).otherwise(F.col(name)).alias(name)
+
+    return pages.select(*map(value, PAGES_SCHEMA.names))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages stored as parquet; fails if one of the page columns is missing."""
+    """Pages stored as parquet; fails if a file lacks a page column that is read.
+
+    One file is looked at before, the others when they are read, on the executors.
+    """
     _check_columns(spark, path)
-    return spark.read.schema(PAGES_SCHEMA).parquet(path)
+    return _strict(spark.read.schema(_strict_schema()).parquet(path))
 
 
 def stream_pages(
@@ -53,12 +79,12 @@ def stream_pages(
 
     Spark passes over files older than the newest by more than ``max_file_age``. By
     default none is: then the list of files seen, kept in the checkpoint, grows with
-    their number. The columns of the files that are there at the start are checked.
+    their number. A file that lacks a page column that is read stops the stream.
     """
     if any(files_below(spark, folder)):
         _check_columns(spark, folder)
-    return (
-        spark.readStream.schema(PAGES_SCHEMA)
+    return _strict(
+        spark.readStream.schema(_strict_schema())
         .option("maxFilesPerTrigger", files_per_batch)
         .option("maxFileAge", max_file_age)
         .parquet(folder)

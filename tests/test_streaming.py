@@ -91,6 +91,48 @@ def test_a_checkpoint_of_another_stream_is_refused(spark, tmp_path, halves):
     assert read_parsed(spark, parsed).count() == first.count() + second.count()
 
 
+def test_a_checkpoint_of_another_table_is_refused(spark, tmp_path):
+    """Table A has two batches, B one: with B's checkpoint A would lose the third."""
+    pages = read_pages(spark, PAGES)
+    thirds = [pages.filter(f"page_id % 3 = {k}").coalesce(1) for k in range(3)]
+    a, b = tmp_path / "a", tmp_path / "b"
+    for third in thirds[:2]:
+        third.write.mode("append").parquet(str(tmp_path / "landing"))
+        ingest(spark, tmp_path / "landing", a, checkpoint=str(tmp_path / "of_a"))
+    thirds[0].write.parquet(str(tmp_path / "other"))
+    ingest(spark, tmp_path / "other", b, checkpoint=str(tmp_path / "of_b"))
+    thirds[2].write.mode("append").parquet(str(tmp_path / "landing"))
+    before = sorted(tmp_path.rglob("*"))
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest(spark, tmp_path / "landing", a, checkpoint=str(tmp_path / "of_b"))
+    assert sorted(tmp_path.rglob("*")) == before
+    ingest(spark, tmp_path / "landing", a, checkpoint=str(tmp_path / "of_a"))
+    assert read_parsed(spark, str(a)).count() == pages.count()
+
+
+def test_a_start_that_failed_can_be_repeated(spark, tmp_path, monkeypatch):
+    landing, parsed, checkpoint = tmp_path / "landing", tmp_path / "parsed", str(tmp_path / "checkpoint")
+    pages = read_pages(spark, PAGES)
+    pages.coalesce(1).write.parquet(str(landing))
+    with monkeypatch.context() as m:
+        m.setattr("pagequarry.streaming.ingest.stream_pages", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest(spark, landing, parsed, checkpoint=checkpoint)
+    ingest(spark, landing, parsed, checkpoint=checkpoint)
+    assert read_parsed(spark, str(parsed)).count() == pages.count()
+
+
+def test_a_file_without_a_column_stops_the_stream(spark, tmp_path):
+    landing, parsed, checkpoint = tmp_path / "landing", tmp_path / "parsed", str(tmp_path / "checkpoint")
+    pages = read_pages(spark, PAGES)
+    pages.filter("page_id < 100").coalesce(1).write.parquet(str(landing))
+    ingest(spark, landing, parsed, checkpoint=checkpoint)
+    pages.filter("page_id >= 100").withColumnRenamed("html", "body").coalesce(1).write.mode("append").parquet(str(landing))
+    with pytest.raises(Exception, match="no column html"):
+        ingest(spark, landing, parsed, checkpoint=checkpoint)
+    assert read_parsed(spark, str(parsed)).count() == pages.filter("page_id < 100").count()
+
+
 def test_files_that_land_late_are_not_too_old(spark, tmp_path, halves):
     first, second = halves
     landing, parsed, checkpoint = tmp_path / "landing", tmp_path / "parsed", str(tmp_path / "checkpoint")
