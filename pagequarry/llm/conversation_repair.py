@@ -358,7 +358,7 @@ def repair(turns: DataFrame, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     )
     ordered = in_order(
         known.withColumn("h1", F.xxhash64("role", "text")).withColumn("h2", F.xxhash64(F.lit(1), "role", "text")),
-        "conv_id",
+        ["conv_id"],
         ["turn", "h1", "h2"],
     )
     seen = (

@@ -53,8 +53,8 @@ def sequences(turns: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(1), role, text).alias("h2"),
         F.size(words(text)).cast("long").alias("words"),
     )
-    ordered = in_order(rows, "conv_id", ["turn", "h1", "h2"])
-    return places(ordered, "conv_id").select("conv_id", F.col("place").alias("depth"), "h1", "h2", "words")
+    ordered = in_order(rows, ["conv_id"], ["turn", "h1", "h2"])
+    return places(ordered, ["conv_id"]).select("conv_id", F.col("place").alias("depth"), "h1", "h2", "words")
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:

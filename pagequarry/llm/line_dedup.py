@@ -1,24 +1,32 @@
 """Line dedup by pairwise alignment.
 
-Documents are ordered by id. A document whose lines are those of an earlier one, in the
-same order, is its copy: it goes whole, and only the first copy takes part in what follows.
-
-Partners are found through rare lines: any two documents that share a line held by at
-most ``RARE`` of them are aligned, the later with the earlier, on all lines they share. A
-line that more documents hold would give too many pairs; each line, whatever its number
-of holders, also links to the first document that holds it, one link per holder, and the
-lines linked to one document are aligned with it.
-
-Patience diff aligns: lines are numbered when a document has them several times, so each
-occurs once on either side, and the longest chain that rises in both documents is the
-alignment. Aligned blocks of at least ``MIN_WORDS`` words, consecutive in both documents
-but for blank lines, are deleted from the later one. Lines that cross every alignment stay.
+Documents are ordered by id. A document is aligned with the earlier ones that it shares
+lines with, and what is aligned goes from the later one: whatever an alignment with any
+earlier document deletes is deleted. Patience diff aligns: lines are numbered when a document
+has them several times, so each occurs once on either side, and the longest chain that
+rises in both documents is the alignment. Aligned blocks of at least ``MIN_WORDS`` words,
+consecutive in both documents but for blank lines, are deleted. Lines that cross every
+alignment stay.
+
+Not all pairs are aligned, but the result is that of all pairs:
+
+1. Lines that one document alone holds part the others into runs. A bit filter of fixed size
+   finds them; what it lets pass besides only parts less. Documents with the same runs are
+   alike to all others and to each other, so all but the first lose their runs of enough
+   words, and only the first goes on.
+2. A block that holds a line of enough words, or two neighbours of which one has fewer, is
+   held by both documents. Such lines and pairs of neighbours are anchors. The holders of an
+   anchor are numbered in order, by ranges, so that a common line is no task's alone.
+3. A document is aligned with the first holder of each of its anchors. Rare lines, and common
+   ones that stand alone or in their usual order, are deleted by that. What is left is aligned
+   with further holders, ``GROWTH`` times as many in each round, until it is deleted or has no
+   earlier holder left.
 
 Lines are compared without outer white space by two 64-bit hashes. Blank lines take no
 part. A null text has no lines and stays null; a text whose lines are all deleted
 becomes empty, its row stays. Rows with the same id and text are one document, so each
 keeps the same lines; rows with the same id and different texts are ordered by hash,
-and a null id comes last.
+and a null id comes last, as the largest id does.
 """
 
 from __future__ import annotations
@@ -28,15 +36,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import PLAIN_BREAK, checkpointed, flat_lists, mixed, words
+from pagequarry.llm.common import (
+    PLAIN_BREAK,
+    bit_filter,
+    bits_set,
+    checkpointed,
+    first_bit,
+    flat_lists,
+    mixed,
+    random_words,
+    second_bit,
+    sums,
+    words,
+)
+from pagequarry.llm.ordering import in_order, places
 
 # Shorter lines recur by chance.
 MIN_WORDS = 4
-# Documents that may hold a line for it to find partners.
-RARE = 4
+# Times as many holders of an anchor are tried in each round.
+GROWTH = 4
+_LAST_ID = (1 << 63) - 1
+_TIMES = random_words(51, 2) | np.uint64(1)
 
 
 def longest_chain(pairs: list[tuple[int, int]]) -> list[int]:
@@ -125,132 +148,180 @@ def _line_lists(docs: DataFrame) -> DataFrame:
     return listed.mapInArrow(number, _LINES).dropDuplicates(["id", "print"])
 
 
-def _place(*more: str) -> Column:
-    return F.struct(F.col("id").isNull().alias("no_id"), "id", "print", *more)
+_SHARED = (
+    "id long, print long, s1 long, s2 long, settled array<int>, line array<int>, position array<int>, "
+    "h1 array<long>, h2 array<long>, n_words array<int>"
+)
 
 
-def _pairs(batch: pa.RecordBatch, i: int) -> list[tuple[int, int]]:
-    """Lines that both documents of a row hold, numbered from 0 in either."""
-    here, there = (
-        zip(batch.column(f"h1{c}")[i].values.to_pylist(), batch.column(f"h2{c}")[i].values.to_pylist(), strict=True)
-        for c in ("", "_there")
-    )
-    place = {key: n for n, key in enumerate(there)}
-    return [(n, place[key]) for n, key in enumerate(here) if key in place]
+def _lists_of(offsets: np.ndarray, *columns: np.ndarray) -> list[pa.ListArray]:
+    edges = pa.array(offsets.astype(np.int32))
+    return [pa.ListArray.from_arrays(edges, pa.array(c)) for c in columns]
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (id, print, removed) for the documents (id, print, text) that lose lines."""
-    lists = checkpointed(_line_lists(docs))
-    whole = [F.xxhash64("h1").alias("whole1"), F.xxhash64("h2", F.lit(1)).alias("whole2")]
-    texts = lists.select("id", "print", *whole)
-    first_copy = checkpointed(
-        texts.groupBy("whole1", "whole2")
-        .agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-    )
-    copies = checkpointed(
-        texts.join(first_copy, ["whole1", "whole2"])
-        .filter(_place() != F.col("first"))
-        .select(F.col("id").alias("copy_id"), F.col("print").alias("copy_print"))
-    )
-    is_copy = F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("print") == F.col("copy_print"))
-    total = F.aggregate("n_words", F.lit(0), lambda s, n: s + n)
-    of_copies = (
-        lists.join(copies, is_copy, "left_semi").filter(total >= min_words)
-        .select("id", "print", F.col("position").alias("removed"))
-    )
-    own = lists.join(copies, is_copy, "left_anti")
-    # One row per document and occurrence of a line.
-    lines = checkpointed(
-        own.select(
-            "id", "print", F.posexplode(F.arrays_zip("h1", "h2", "k", "n_words", "position")).alias("line", "x")
-        ).select("id", "print", "line", "x.*")
+def _runs(line: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Number of the run of consecutive lines of one row that each line is in."""
+    starts = np.ones(len(line), bool)
+    starts[1:] = (np.diff(line) != 1) | (np.diff(row) != 0)
+    return np.cumsum(starts) - 1
+
+
+def _shared_lines(lists: DataFrame, min_words: int) -> DataFrame:
+    """The lines of each document that others hold too; documents without any are left out.
+
+    ``line`` counts the lines that aren't blank. ``s1`` and ``s2`` are equal for documents with
+    the same runs. ``settled`` has the positions that go if an earlier document has them.
+    """
+    counts = lists.select(F.explode("h1").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    bits = lists.sparkSession.sparkContext.broadcast(bit_filter(counts.filter("n > 1").select("h")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, at = flat_lists(batch.column("h1"))
+            h2, position, n_words = (flat_lists(batch.column(c))[0] for c in ("h2", "position", "n_words"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            line = np.arange(len(h1)) - at[row]
+            key = h1.view(np.uint64)
+            there = bits_set(bits.value, first_bit(key)) & bits_set(bits.value, second_bit(key))
+            row, line, h1, h2, position, n_words = (x[there] for x in (row, line, h1, h2, position, n_words))
+            offsets = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+            run = _runs(line, row)
+            strong = np.bincount(run, n_words)[run] >= min_words if len(run) else np.zeros(0, bool)
+            # Every line depends on its place and on whether a run goes on.
+            nth = (np.arange(len(line)) - offsets[row]).astype(np.uint64)
+            goes_on = np.append(run[1:] == run[:-1], False).astype(np.uint64)[: len(run)]
+            prints = [
+                sums(mixed(mixed(x.view(np.uint64) + goes_on) + nth * t), offsets).view(np.int64)
+                for x, t in zip((h1, h2), _TIMES, strict=True)
+            ]
+            settled_at = np.append(0, np.cumsum(np.bincount(row[strong], minlength=batch.num_rows)))
+            columns = [
+                batch.column("id"), batch.column("print"), *map(pa.array, prints),
+                *_lists_of(settled_at, position[strong]),
+                *_lists_of(offsets, line.astype(np.int32), position, h1, h2, n_words),
+            ]
+            names = [c.split(" ")[0] for c in _SHARED.split(", ")]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(np.diff(offsets) > 0))
+
+    return lists.mapInArrow(cut, _SHARED)
+
+
+def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (anchor, id, print, positions): what an earlier document must hold too.
+
+    ``positions`` are the lines that the anchor stands for. Lines in runs of too few words
+    cannot go and have none.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, at = flat_lists(batch.column("h1"))
+            line, position, n_words = (flat_lists(batch.column(c))[0] for c in ("line", "position", "n_words"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            run = _runs(line, row)
+            key = h1.view(np.uint64)
+            strong = np.bincount(run, n_words)[run] >= min_words if len(run) else np.zeros(0, bool)
+            short = strong & (n_words < min_words)
+            alone = np.flatnonzero(strong & ~short)
+            # Neighbours of which one is short.
+            first = np.flatnonzero((run[1:] == run[:-1]) & (short[1:] | short[:-1]))
+            pair = mixed(key[first] * _TIMES[0] + key[first + 1] * _TIMES[1])
+            of_pair = np.stack([first, first + 1], axis=1)
+            counts = np.append(np.ones(len(alone), np.int64), short[of_pair].sum(axis=1))
+            stands_for = np.append(alone, of_pair[short[of_pair]])
+            rows = pa.array(np.append(row[alone], row[first]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(key[alone], pair).view(np.int64)),
+                    batch.column("id").take(rows),
+                    batch.column("print").take(rows),
+                    *_lists_of(np.append(0, np.cumsum(counts)), position[stands_for]),
+                ],
+                names=["anchor", "id", "print", "positions"],
+            )
+
+    return docs.select("id", "print", "line", "position", "h1", "n_words").mapInArrow(
+        find, "anchor long, id long, print long, positions array<int>"
     )
-    # A table of its own, so that adaptive execution can split what a hot line joins.
-    first = checkpointed(
-        lines.groupBy("h1", "h2")
-        .agg(F.min(_place("line")).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select(
-            "h1", "h2", "n",
-            F.col("first.id").alias("first_id"),
-            F.col("first.print").alias("first_print"),
-            F.col("first.line").alias("there"),
-        )
-    )
-    # The first occurrence of a line is held by whatever document holds the line.
-    partners = (
-        lines.filter("k = 0").select("h1", "h2", "id", "print")
-        .join(first.filter(F.col("n") <= RARE).select("h1", "h2"), ["h1", "h2"])
-        .groupBy("h1", "h2").agg(F.sort_array(F.collect_list(_place())).alias("holders"))
-        .select(F.posexplode("holders").alias("n", "later"), "holders")
-        .select("later", F.explode(F.slice("holders", F.lit(1), F.col("n"))).alias("earlier"))
-        .select(
-            "later.id", "later.print",
-            F.col("earlier.id").alias("id_there"), F.col("earlier.print").alias("print_there"),
-        )
-        .distinct()
-    )
-    here = own.select(F.col("id").alias("own_id"), F.col("print").alias("own_print"), "position", "h1", "h2", "n_words")
-    there = own.select(
-        F.col("id").alias("its_id"), F.col("print").alias("its_print"),
-        *(F.col(c).alias(f"{c}_there") for c in ("h1", "h2")),
+
+
+def _aligned(pairs: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (id, print, removed) of ``pairs`` (id, print, id_there, print_there) that remove lines."""
+    here = docs.select("id", "print", "line", "position", "h1", "h2", "n_words")
+    there = docs.select(
+        F.col("id").alias("id_there"), F.col("print").alias("print_there"),
+        *(F.col(c).alias(f"{c}_there") for c in ("line", "h1", "h2")),
     )
-    met = (
-        partners.join(here, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("print") == F.col("own_print")))
-        .join(there, F.col("id_there").eqNullSafe(F.col("its_id")) & (F.col("print_there") == F.col("its_print")))
-        .select("id", "print", "position", "h1", "h2", "n_words", "h1_there", "h2_there")
-    )
+    met = pairs.join(here, ["id", "print"]).join(there, ["id_there", "print_there"])
 
-    def align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed = []
             for i in range(batch.num_rows):
-                at, n = (batch.column(c)[i].values.to_pylist() for c in ("position", "n_words"))
-                gone = removed_lines(_pairs(batch, i), dict(enumerate(n)), min_words)
-                removed.append([at[line] for line in gone])
-            yield _removed(batch, removed)
+                row = {c: batch.column(c)[i].values.to_pylist() for c in lists}
+                there = zip(row["h1_there"], row["h2_there"], strict=True)
+                place = dict(zip(there, row["line_there"], strict=True))
+                own = zip(row["line"], zip(row["h1"], row["h2"], strict=True), strict=True)
+                shared = [(line, place[key]) for line, key in own if key in place]
+                n_words = dict(zip(row["line"], row["n_words"], strict=True))
+                position = dict(zip(row["line"], row["position"], strict=True))
+                removed.append([position[x] for x in removed_lines(shared, n_words, min_words)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("print"), pa.array(removed, pa.list_(pa.int32()))],
+                names=["id", "print", "removed"],
+            )
 
-    links = lines.join(first, ["h1", "h2"]).filter(
-        ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("print") == F.col("first_print")))
-    )
-    # No longer than the document is.
-    per_doc = links.groupBy("id", "print").agg(
-        F.collect_list(
-            F.struct("first_id", "first_print", "line", "there", "position", "n_words")
-        ).alias("links")
+    lists = ["line", "position", "h1", "h2", "n_words", "line_there", "h1_there", "h2_there"]
+    found = met.select("id", "print", *lists).mapInArrow(align, "id long, print long, removed array<int>")
+    return found.filter(F.size("removed") > 0).groupBy("id", "print").agg(
+        F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")
     )
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed = []
-            for links in batch.column("links").to_pylist():
-                by_partner: dict[tuple, list[tuple[int, int]]] = {}
-                n_words = {x["line"]: x["n_words"] for x in links}
-                at = {x["line"]: x["position"] for x in links}
-                for x in links:
-                    pair = x["line"], x["there"]
-                    by_partner.setdefault((x["first_id"], x["first_print"]), []).append(pair)
-                removed.append(
-                    [at[x] for pairs in by_partner.values() for x in removed_lines(pairs, n_words, min_words)]
-                )
-            yield _removed(batch, removed)
-
-    schema = "id long, print long, removed array<int>"
-    found = met.mapInArrow(align_pairs, schema).union(per_doc.mapInArrow(align, schema))
-    return (
-        found.filter(F.size("removed") > 0)
-        .select("id", "print", F.explode("removed").alias("line"))
-        .groupBy("id", "print").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-        .union(of_copies)
-    )
 
+def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (id, print, removed) for the documents (id, print, text) that lose lines.
 
-def _removed(batch: pa.RecordBatch, removed: list[list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [batch.column("id"), batch.column("print"), pa.array(removed, pa.list_(pa.int32()))],
-        names=["id", "print", "removed"],
+    ``id`` must not be null.
+    """
+    lists = checkpointed(_line_lists(docs))
+    shared = checkpointed(_shared_lines(lists, min_words))
+    alike = ["s1", "s2"]
+    placed = places(in_order(shared.select("id", "print", *alike), alike, ["id", "print"]), alike)
+    shared = checkpointed(shared.drop(*alike).join(placed.select("id", "print", "place"), ["id", "print"]))
+    found = [shared.filter("place > 1").select("id", "print", F.col("settled").alias("removed"))]
+    docs = shared.filter("place = 1")
+    holders = places(in_order(_anchors(docs, min_words), ["anchor"], ["id", "print"]), ["anchor"])
+    holders = checkpointed(holders.select("anchor", "id", "print", "positions", "place"))
+    left = holders.filter("place > 1")
+    low, high = 1, 2
+    while True:
+        wanted = left.select(
+            "anchor", "id", "print",
+            F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), "place") - 1)).alias("place"),
+        )
+        tried = holders.filter(F.col("place").between(low, high - 1)).select(
+            "anchor", "place", F.col("id").alias("id_there"), F.col("print").alias("print_there")
+        )
+        pairs = wanted.join(tried, ["anchor", "place"]).select("id", "print", "id_there", "print_there").distinct()
+        gone = checkpointed(_aligned(checkpointed(pairs), docs, min_words))
+        found.append(gone)
+        left = checkpointed(
+            left.filter(F.col("place") > high)
+            .join(gone, ["id", "print"], "left")
+            .withColumn("positions", F.array_except("positions", F.coalesce("removed", F.array().cast("array<int>"))))
+            .filter(F.size("positions") > 0)
+            .drop("removed")
+        )
+        if left.isEmpty():
+            break
+        low, high = high, high + (high - low) * GROWTH
+    everything = found[0]
+    for part in found[1:]:
+        everything = everything.union(part)
+    return (
+        everything.filter(F.size("removed") > 0)
+        .groupBy("id", "print")
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
     )
 
 
@@ -267,12 +338,13 @@ def dedup_lines(
     positions of the deleted lines, counted from 0; a column of that name is replaced.
     """
     id_col, text_col = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text}`")
+    id_col = F.coalesce(id_col, F.lit(_LAST_ID))
     keys = docs.select(id_col.alias("id"), F.xxhash64(text_col).alias("print"), text_col.alias("text"))
     found = removals(keys, min_words).select(
         F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("removed").alias("__removed")
     )
     joined = docs.join(
-        found, id_col.eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__print")), "left"
+        found, (id_col == F.col("__id")) & (F.xxhash64(text_col) == F.col("__print")), "left"
     )
     left = F.array_join(
         F.filter(

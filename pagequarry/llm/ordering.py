@@ -24,7 +24,7 @@ def n_parts(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_order(rows: DataFrame, group: str, by: list[str]) -> DataFrame:
+def in_order(rows: DataFrame, group: list[str], by: list[str]) -> DataFrame:
     """``rows`` with ``part`` and ``pos``, kept in the shared folder.
 
     ``pos`` rises with ``group`` and then ``by``, null first; equal rows take any order.
@@ -32,7 +32,7 @@ def in_order(rows: DataFrame, group: str, by: list[str]) -> DataFrame:
     reach the driver in a sample of fixed size, so they must be short.
     """
     # Tells equal rows apart, so that they too can be dealt to several tasks.
-    order = [F.col(c).asc_nulls_first() for c in (group, *by, "__salt")]
+    order = [F.col(c).asc_nulls_first() for c in (*group, *by, "__salt")]
     dealt = (
         rows.withColumn("__salt", F.monotonically_increasing_id())
         .repartitionByRange(n_parts(rows), *order)
@@ -43,28 +43,23 @@ def in_order(rows: DataFrame, group: str, by: list[str]) -> DataFrame:
     return checkpointed(numbered.withColumn("part", F.shiftright("pos", WITHIN_PART)))
 
 
-def places(ordered: DataFrame, group: str) -> DataFrame:
+def places(ordered: DataFrame, group: list[str]) -> DataFrame:
     """``ordered`` (see ``in_order``) with ``place``, counted from 1 in each group."""
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
-        ordered.groupBy(group, "part")
+        ordered.groupBy(*group, "part")
         .agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
         # A row per group and part.
-        .withColumn(
-            "before",
-            F.coalesce(
-                F.sum("n").over(
-                    Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select(
-            F.col(group).alias("__group"),
+            *(F.col(c).alias(f"__{c}") for c in group),
             F.col("part").alias("__part"),
             (F.col("before") - F.col("first_pos") + 1).alias("__shift"),
         )
     )
-    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("part") == F.col("__part"))
+    same = F.col("part") == F.col("__part")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
     return ordered.join(runs, same).select(
         *ordered.columns, (F.col("pos") + F.col("__shift")).alias("place")
     )

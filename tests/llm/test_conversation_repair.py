@@ -150,8 +150,8 @@ def test_odd_rows(spark):
 def test_order_and_digests_with_one_large_group(spark):
     rows = [(7 if i % 3 else i, i * 37 % 1000, "x") for i in range(1000)] + [(None, None, "y")] * 50
     given = spark.createDataFrame(rows, "g long, turn long, x string")
-    ordered = in_order(given, "g", ["turn"])
-    found = places(ordered, "g").collect()
+    ordered = in_order(given, ["g"], ["turn"])
+    found = places(ordered, ["g"]).collect()
     want = {}
     for g, turn, _ in rows:
         want.setdefault(g, []).append(turn)

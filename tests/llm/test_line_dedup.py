@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pagequarry.llm import line_dedup as op
 
 
@@ -23,35 +25,90 @@ def test_chain_is_longest_and_rises():
         assert chain == sorted(chain) and [there[x] for x in chain] == sorted(there[x] for x in chain)
 
 
-def expected(texts):
-    """By definition: (line, occurrence) meets its first holder; chains per pair."""
-    first, links = {}, {}
-    for doc in sorted(texts):
-        counts = {}
-        for at, line in enumerate(texts[doc].split("\n")):
-            line = line.strip()
-            if not line:
-                continue
-            key = line, counts.get(line, 0)
-            counts[line] = counts.get(line, 0) + 1
-            if key in first:
-                links.setdefault(doc, {}).setdefault(first[key][0], []).append((at, first[key][1]))
-            else:
-                first[key] = doc, at
-    return {doc: sum(map(longest, by.values())) for doc, by in links.items()}
+def brute(texts, min_words=4):
+    """Positions that an alignment with any earlier document deletes, over all pairs."""
+
+    def lines(text):
+        seen, out = {}, []
+        for at, line in enumerate((text or "").split("\n")):
+            line = line.strip(" \t\r\f\x0b")
+            if line:
+                out.append((at, (line, seen.get(line, 0)), len(line.split())))
+                seen[line] = seen.get(line, 0) + 1
+        return out
+
+    cut = {doc: lines(text) for doc, text in texts.items()}
+    gone = {doc: set() for doc in texts}
+    for later, own in cut.items():
+        for earlier in texts:
+            if earlier < later:
+                there = {key: n for n, (_, key, _) in enumerate(cut[earlier])}
+                chain = op.longest_chain([(n, there[key]) for n, (_, key, _) in enumerate(own) if key in there])
+                block = []
+                for n in [*chain, None]:
+                    if block and (n is None or n != block[-1] + 1 or there[own[n][1]] != there[own[block[-1]][1]] + 1):
+                        if sum(own[x][2] for x in block) >= min_words:
+                            gone[later] |= {own[x][0] for x in block}
+                        block = []
+                    block.append(n)
+    return gone
+
+
+def removed(table, texts):
+    rows = op.dedup_lines(table([(i, t, None) for i, t in texts.items()]), removed="removed").collect()
+    for row in rows:
+        left = [x for i, x in enumerate(texts[row.doc_id].split("\n")) if i not in row.removed]
+        assert row.text == "\n".join(left)
+    return {row.doc_id: set(row.removed) for row in rows}
 
 
 def test_against_brute_force(table):
     rng = random.Random(2)
     lines = [f"line number {i} of a few words" for i in range(25)]
     texts = {i: "\n".join(rng.choices(lines, k=rng.randrange(1, 12))) for i in range(60)}
-    docs = table([(i, t, None) for i, t in texts.items()])
-    rows = op.dedup_lines(docs, removed="removed").collect()
-    want = expected(texts)
-    for row in rows:
-        assert len(row.removed) == want.get(row.doc_id, 0)
-        left = [x for i, x in enumerate(texts[row.doc_id].split("\n")) if i not in row.removed]
-        assert row.text == "\n".join(left)
+    assert removed(table, texts) == brute(texts)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_lines_of_many_holders_in_any_order(table, seed):
+    rng = random.Random(seed)
+    # Each line is in 5 to 50 of 120 documents; short ones need a neighbour.
+    lines = [f"line {i}" if i % 3 else f"a line of enough words {i}" for i in range(40)]
+    share = {line: rng.randrange(5, 51) / 120 for line in lines}
+    texts = {}
+    for i in range(120):
+        own = [line for line in lines if rng.random() < share[line]]
+        if rng.random() < 0.5:
+            rng.shuffle(own)
+        for _ in range(rng.randrange(3)):
+            own.insert(rng.randrange(len(own) + 1), rng.choice(["", f"only here {i} {rng.random()}"]))
+        texts[i] = "\n".join(own)
+    want = brute(texts)
+    assert removed(table, texts) == want
+    assert sum(map(len, want.values())) > 500
+
+
+def test_lines_that_cross_the_first_holder(table):
+    a, b = "the first long line here", "the second long line here"
+    texts = {1: f"{a}\n{b}"}
+    texts |= {k: f"{b}\n{a}" + (f"\nonly in document {k}" if k > 1 else "") for k in range(2, 9)}
+    found = removed(table, texts)
+    assert found == brute(texts)
+    assert all(found[k] == {0, 1} for k in range(3, 9))
+
+
+def test_a_line_of_a_third_of_all_documents(table):
+    rng = random.Random(5)
+    hot = "a line that many documents share"
+    texts = {}
+    for i in range(300):
+        own = [f"own line {i} {k} of some words" for k in range(rng.randrange(4))]
+        if i % 3 == 0:
+            own.insert(rng.randrange(len(own) + 1), hot)
+        texts[i] = "\n".join(own)
+    found = removed(table, texts)
+    assert found == brute(texts)
+    assert sum(map(len, found.values())) == 99
 
 
 def test_blocks_shorter_than_a_few_words_stay(table):
@@ -80,26 +137,6 @@ def test_crossing_lines_stay(table):
     assert {r.doc_id: r.text for r in op.dedup_lines(docs).collect()}[2] == c
 
 
-def brute_pairs(texts, min_words=4):
-    """Lines of each document that an alignment with any earlier one deletes."""
-
-    def lines(text):
-        seen, out = {}, {}
-        for at, line in enumerate(text.split("\n")):
-            out[line, seen.get(line, 0)] = at
-            seen[line] = seen.get(line, 0) + 1
-        return out
-
-    gone = {doc: set() for doc in texts}
-    for later in texts:
-        for earlier in texts:
-            if earlier < later:
-                here, there = lines(texts[later]), lines(texts[earlier])
-                pairs = [(at, there[key]) for key, at in here.items() if key in there]
-                gone[later] |= set(op.longest_chain(pairs))
-    return gone
-
-
 def test_a_copy_of_a_later_document_goes_whole(table):
     a, b = "the first long line here", "the second long line here"
     texts = {1: f"{a}\n{b}", 2: f"{b}\n{a}", 3: f"{b}\n{a}"}
@@ -107,8 +144,7 @@ def test_a_copy_of_a_later_document_goes_whole(table):
     texts |= {k: texts[2] for k in range(4, 12)}
     # Not a copy, but all its shared lines are those of 2.
     texts[12] = f"{b}\nonly here and nowhere else\n{a}"
-    found = op.dedup_lines(table([(i, t, None) for i, t in texts.items()]), removed="removed").collect()
-    assert {r.doc_id: set(r.removed) for r in found} == brute_pairs(texts)
+    assert removed(table, texts) == brute(texts)
 
 
 def test_against_brute_force_over_pairs(table):
@@ -120,8 +156,7 @@ def test_against_brute_force_over_pairs(table):
         for k in range(4):
             part = rng.sample(own, rng.randrange(3, 9)) if k < 2 else rng.choice([texts[4 * i], texts[4 * i + 1]]).split("\n")[: rng.randrange(2, 9)]
             texts[4 * i + k] = "\n".join([*part, f"only in {i} {k} and no other"])
-    found = op.dedup_lines(table([(i, t, None) for i, t in texts.items()]), removed="removed").collect()
-    assert {r.doc_id: set(r.removed) for r in found} == brute_pairs(texts)
+    assert removed(table, texts) == brute(texts)
 
 
 def test_odd_rows(table, odd_rows):
