@@ -11,7 +11,11 @@ words of all repeated windows go. Windows are judged on the input.
 2. What goes on is dealt by hash into buckets, far more than tasks, in packed form. In
    each bucket the smallest id of every window is found; the other holders repeat it.
 3. Documents with a repeated window meet their windows again. A bit filter of fixed size
-   keeps the texts of the others out of the shuffle; it decides nothing.
+   keeps the texts of the others out of the shuffle; it decides nothing. Rows of one id are
+   many where the id is null, say, and so may be their windows: those of an id with several
+   rows meet by window, so that each row gets its own only.
+
+There are as many buckets as make each hold about ``PER_BUCKET`` windows.
 
 Windows are told apart by 64-bit hashes. A null text has no words. Rows with the same id
 do not repeat each other; a null id counts as the largest.
@@ -19,12 +23,12 @@ do not repeat each other; a null id counts as the largest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -45,6 +49,9 @@ from pagequarry.llm.common import (
 SPAN = 13
 # Windows of a block, unless one document has more.
 BLOCK = 1 << 20
+PER_BUCKET = 1 << 20
+# Bytes of text for each window, at least as a rule.
+_BYTES_PER_WINDOW = 6
 _BASE = random_words(11, 1)[0] | np.uint64(1)
 _LAST_ID = (1 << 63) - 1
 _REMOVED = ArrayType(
@@ -112,13 +119,16 @@ def _rows(bucket: np.ndarray, settled: bool, found: np.ndarray, ids: np.ndarray)
     )
 
 
-def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def bucket_bits(n_bytes: int) -> int:
+    """For so many bytes of text, the power of two that the number of buckets is."""
+    return max(8, (n_bytes // (_BYTES_PER_WINDOW * PER_BUCKET)).bit_length())
+
+
+def repeated_windows(docs: DataFrame, span: int = SPAN, bits: int = 8) -> DataFrame:
     """Rows (id, windows): hashes of the windows of ``docs`` (id, hashes) that repeat others.
 
-    An id may have several rows.
+    An id may have several rows. Windows are dealt into 2 ** ``bits`` buckets.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(8, (8 * partitions - 1).bit_length())
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +148,9 @@ def repeated_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 later = owner != np.repeat(least, sizes)
                 if later.any():
                     found, owner = found[later], owner[later]
-                    # Dealt by id, as a frequent window would fill its bucket.
-                    by_id = mixed(owner.view(np.uint64)) >> np.uint64(64 - bits)
+                    # Dealt by id, as a frequent window would fill its bucket, and by block,
+                    # as a frequent id would.
+                    by_id = mixed(owner.view(np.uint64) ^ first[0]) >> np.uint64(64 - bits)
                     yield _rows(by_id + np.uint64(1 << bits), True, found, owner)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -185,6 +196,49 @@ def intervals(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + span).tolist(), strict=True))
 
 
+def _may_be_in(ids: DataFrame) -> Callable[[str], Column]:
+    """A condition on a column that holds for all of ``ids``, and few others."""
+    table = ids.sparkSession.sparkContext.broadcast(bit_filter(ids))
+
+    @F.pandas_udf("boolean")
+    def may_be_in(column: pd.Series) -> pd.Series:
+        key = column.to_numpy().view(np.uint64)
+        return pd.Series(bits_set(table.value, first_bit(key)) & bits_set(table.value, second_bit(key)))
+
+    return may_be_in
+
+
+def _of_each_row(rows: DataFrame, found: DataFrame, span: int) -> DataFrame:
+    """``rows`` with ``__windows``: those of ``found`` (id, windows) that the row itself has."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes, offsets in row_blocks(batch.column("hashes"), BLOCK):
+                starts = window_starts(offsets, span)
+                n = np.maximum(np.diff(offsets) - span + 1, 0)
+                row = pa.array(np.repeat(np.arange(part.start, part.stop), n))
+                window = pa.array(window_hashes(hashes.view(np.uint64), starts, span).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(row), batch.column("print").take(row), window],
+                    names=["id", "print", "window"],
+                )
+
+    text_print = F.xxhash64("__text")
+    own = (
+        rows.select(F.col("__id").alias("id"), text_print.alias("print"), word_hashes(F.col("__text")).alias("hashes"))
+        .mapInArrow(windows, "id long, print long, window long")
+        .distinct()
+    )
+    repeated = checkpointed(found.select("id", F.explode("windows").alias("window")).distinct())
+    of_rows = (
+        own.join(repeated, ["id", "window"])
+        .groupBy(F.col("id").alias("__found"), F.col("print").alias("__print"))
+        .agg(F.collect_list("window").alias("__windows"))
+    )
+    same = (F.col("__id") == F.col("__found")) & (text_print == F.col("__print"))
+    return rows.join(of_rows, same, "left").drop("__found", "__print")
+
+
 def dedup_substrings(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", span: int = SPAN
 ) -> DataFrame:
@@ -202,23 +256,24 @@ def dedup_substrings(
         F.coalesce(f"`{text}`", F.lit("")).alias("__text"),
     )
     hashed = plain.select(F.col("__id").alias("id"), word_hashes(F.col("__text")).alias("hashes"))
-    found = checkpointed(repeated_windows(hashed, span))
-    table = docs.sparkSession.sparkContext.broadcast(bit_filter(found.select("id")))
-
-    @F.pandas_udf("boolean")
-    def may_repeat(ids: pd.Series) -> pd.Series:
-        key = ids.to_numpy().view(np.uint64)
-        return pd.Series(
-            bits_set(table.value, first_bit(key)) & bits_set(table.value, second_bit(key))
+    n_bytes = plain.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    found = checkpointed(repeated_windows(hashed, span, bucket_bits(n_bytes)))
+    may_repeat = _may_be_in(found.select("id"))
+    several = plain.groupBy(F.col("__id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    may_have_several = _may_be_in(checkpointed(several))
+    affected = plain.filter(may_repeat("__id"))
+    affected = (
+        affected.filter(~may_have_several("__id"))
+        .join(
+            # No more windows than the document has.
+            found.filter(~may_have_several("id"))
+            .groupBy(F.col("id").alias("__found"))
+            .agg(F.flatten(F.collect_list("windows")).alias("__windows")),
+            F.col("__id") == F.col("__found"),
+            "left",
         )
-
-    affected = plain.filter(may_repeat("__id")).join(
-        # No more windows than the documents of that id have.
-        found.groupBy(F.col("id").alias("__found")).agg(
-            F.flatten(F.collect_list("windows")).alias("__windows")
-        ),
-        F.col("__id") == F.col("__found"),
-        "left",
+        .drop("__found")
+        .unionByName(_of_each_row(affected.filter(may_have_several("__id")), found.filter(may_have_several("id")), span))
     )
     others = plain.filter(~may_repeat("__id"))
     schema = StructType(

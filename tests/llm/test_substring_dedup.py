@@ -46,6 +46,34 @@ def test_against_brute_force(table, monkeypatch):
     assert found(table(rows).repartition(3)) == expected(rows)
 
 
+def test_rows_of_one_id(table, monkeypatch):
+    """Many null ids, and ids of several texts, some of them twice."""
+    monkeypatch.setattr(op, "BLOCK", 200)
+    rng = random.Random(12)
+    passages = [rng.choices(WORDS, k=rng.randrange(14, 30)) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        words = rng.choices(WORDS, k=rng.randrange(10)) + rng.choice(passages) + rng.choices(WORDS, k=rng.randrange(10))
+        rows.append((None if i % 2 else rng.randrange(40), " ".join(words), None))
+    rows += rows[:20]
+    assert found(table(rows).repartition(4)) == expected(rows)
+
+
+def test_no_row_is_given_the_windows_of_others(table):
+    shared = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(30)]
+    docs = table([(i, t, None) for i, t in enumerate(shared)] + [(None, t, None) for t in shared])
+    plain = docs.selectExpr("coalesce(doc_id, 9223372036854775807) AS __id", "text AS __text")
+    hashed = plain.selectExpr("__id AS id", "__text").select("id", op.word_hashes(plain["__text"]).alias("hashes"))
+    repeated = op.repeated_windows(hashed)
+    rows = op._of_each_row(plain.filter("__id > 30"), repeated, op.SPAN).collect()
+    assert len(rows) == 30 and all(len(r["__windows"]) == 8 for r in rows)
+
+
+def test_buckets_follow_the_input_alone(spark):
+    assert [op.bucket_bits(n) for n in (0, 10**6, 10**9, 10**12)] == [8, 8, 8, 18]
+    assert 10**12 // 6 / 2 ** op.bucket_bits(10**12) <= op.PER_BUCKET
+
+
 def test_intervals_are_maximal(table):
     base = " ".join(f"w{k}" for k in range(40))
     docs = table([(1, base, None), (2, "x " + base + " y " + base, None)])
