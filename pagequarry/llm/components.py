@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import checkpointed
 
 
-def _least_neighbour() -> Column:
-    return F.min("b").over(Window.partitionBy("a"))
+def _with_least(links: DataFrame) -> DataFrame:
+    """``links`` (a, b) with ``least``, the smallest b of each a.
+
+    The smallest is found before the shuffle for the most part. It is a table of its own, so
+    that adaptive execution can split the links of a node with very many.
+    """
+    least = checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
+    return links.join(least, F.col("a") == F.col("node")).select("a", "b", "least")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest of its neighbours and itself."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", _least_neighbour())
     return (
-        both.withColumn("least", least).filter("b > a")
-        .select(F.col("b").alias("a"), F.col("least").alias("b"))
+        _with_least(both).filter("b > a")
+        .select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
     )
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node ties its smaller neighbours and itself to the smallest of them."""
-    tied = links.withColumn("least", _least_neighbour()).select(
-        F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")
-    )
+    tied = _with_least(links).select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
     return tied.filter("a != b").distinct()
 
 
@@ -34,8 +37,7 @@ def components(links: DataFrame) -> DataFrame:
     """Rows (node, label) for every node of ``links`` (a, b): the smallest node it reaches.
 
     Large and small stars take turns until every node hangs on its component's smallest;
-    that takes few rounds of three shuffles, each cut off by a checkpoint. The links keep
-    their number or less; those of a node with very many spill.
+    that takes few rounds, each cut off by checkpoints. The links keep their number or less.
     """
     links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state = F.struct(
@@ -43,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     ).alias("state")
     before = None
     while True:
-        links = checkpointed(_small_star(_large_star(links)))
+        links = checkpointed(_small_star(checkpointed(_large_star(links))))
         after = links.agg(state).first().state
         if after == before:
             break
