@@ -253,8 +253,8 @@ def judged(rows: DataFrame, language: str | None = None) -> DataFrame:
     )
     usual = rows.filter("NOT base_failed")
     for k, by in enumerate((["__language", "__length"], ["__language"], ["__script"])):
-        # A row for each group: small, unless there are very many languages.
-        band = bands(usual, by).select(
+        # A table of its own, so that adaptive execution can split or send what joins it.
+        band = checkpointed(bands(usual, by)).select(
             *(F.col(c).alias(f"{c}_{k}") for c in by), *(F.col(c).alias(f"__{c}_{k}") for c in ("lowest", "highest"))
         )
         same = F.lit(True)
