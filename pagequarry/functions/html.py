@@ -121,6 +121,8 @@ _HOLDS_MARKUP_AS_TEXT = (
     rf"(?is)\A(?:[^<]++|<(?:{_PLAIN_TEXT}|(?!{_TEXT_START})(?:{_COMMENT}|{_RAW}|{_TAG})?+))*+"
     rf"<{_TEXT_START}"
 )
+# Most pages have such elements in their plainest form only and need no walk.
+_MAY_HOLD_MARKUP_AS_TEXT = rf"(?i)<({'|'.join(TEXT_ELEMENTS)})(?!\s*+>[^<]*+</\1\s*+>)"
 _PIECE = rf"(?is)<(?:{_COMMENT}|{_RAW}|{_TEXT}|{_TAG})|[^<]++|<"
 _GAPLESS_PIECE = rf"(?is)\A<(?:{_COMMENT}|{_RAW}|{_INLINE_TAG})\z"
 _TEXT_PIECE = (
@@ -151,7 +153,8 @@ def visible_text(html: Column) -> Column:
     text = F.regexp_replace(marked, _MARK, " ")
     pieces = F.regexp_extract_all(html, F.lit(_PIECE), F.lit(0))
     from_pieces = F.array_join(F.transform(pieces, _piece_text), "")
-    return _collapse(F.when(html.rlike(_HOLDS_MARKUP_AS_TEXT), from_pieces).otherwise(text))
+    to_pieces = html.rlike(_MAY_HOLD_MARKUP_AS_TEXT) & html.rlike(_HOLDS_MARKUP_AS_TEXT)
+    return _collapse(F.when(to_pieces, from_pieces).otherwise(text))
 
 
 def _piece_text(piece: Column) -> Column:
