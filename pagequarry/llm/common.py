@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,11 +41,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    One is set only where the session names none, as in a local test.
+    One is set only where the session names none and runs on a single machine, as in a
+    local test; on a cluster a folder of the driver's would be of no use.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp())
     return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -61,6 +65,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read again, and the folder, to be deleted."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

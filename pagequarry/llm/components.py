@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import checkpointed
+from pagequarry.llm.common import checkpointed, dropped
 
 
-def _with_least(links: DataFrame) -> DataFrame:
-    """``links`` (a, b) with ``least``, the smallest b of each a.
+def _least(links: DataFrame) -> DataFrame:
+    """Rows (node, least): the smallest b of each a of ``links`` (a, b).
 
-    The smallest is found before the shuffle for the most part. It is a table of its own, so
-    that adaptive execution can split the links of a node with very many.
+    It is found before the shuffle for the most part. It is a table of its own, so that
+    adaptive execution can split the links of a node with very many when they join it.
     """
-    least = checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
-    return links.join(least, F.col("a") == F.col("node")).select("a", "b", "least")
+    return checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest of its neighbours and itself."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return (
-        _with_least(both).filter("b > a")
+    least = _least(both)
+    tied = checkpointed(
+        both.filter("b > a").join(least, F.col("a") == F.col("node"))
         .select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
     )
+    dropped(least)
+    return tied
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node ties its smaller neighbours and itself to the smallest of them."""
-    tied = _with_least(links).select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
-    return tied.filter("a != b").distinct()
+    least = _least(links)
+    tied = links.join(least, F.col("a") == F.col("node")).select(
+        F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")
+    )
+    tied = checkpointed(tied.filter("a != b").distinct())
+    dropped(least)
+    return tied
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,7 +52,11 @@ def components(links: DataFrame) -> DataFrame:
     ).alias("state")
     before = None
     while True:
-        links = checkpointed(_small_star(checkpointed(_large_star(links))))
+        stars = _large_star(links)
+        if before is not None:
+            dropped(links)
+        links = _small_star(stars)
+        dropped(stars)
         after = links.agg(state).first().state
         if after == before:
             break

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import checkpointed, flat_lists, mixed, random_words, word_hashes
+from pagequarry.llm.common import checkpointed, dropped, flat_lists, mixed, random_words, word_hashes
 from pagequarry.llm.components import components
 
 SHINGLE = 5
@@ -281,9 +281,11 @@ def _promising(nodes: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
                 names=[*_BLOCK, "node", "partners"],
             )
 
-    return _by_block(members).mapInArrow(
-        compare, "bucket long, x int, y int, node long, partners array<long>"
+    found = checkpointed(
+        _by_block(members).mapInArrow(compare, "bucket long, x int, y int, node long, partners array<long>")
     )
+    dropped(buckets, shared)
+    return found
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -399,10 +401,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
         )
         .select("node", "first.id", "first.print", "signature", "size")
     )
-    promising = checkpointed(_promising(nodes, steps))
+    promising = _promising(nodes, steps)
     compared = promising.select("node").distinct()
     sets = checkpointed(_sets(docs, nodes.join(compared, "node")))
     found = checkpointed(_verified(promising, sets, threshold))
+    dropped(promising, sets)
     labels = components(found.filter("b IS NOT NULL").select("a", "b"))
     n_links = (
         found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))

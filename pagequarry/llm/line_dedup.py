@@ -44,6 +44,7 @@ from pagequarry.llm.common import (
     bit_filter,
     bits_set,
     checkpointed,
+    dropped,
     first_bit,
     flat_lists,
     mixed,
@@ -285,6 +286,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lists = checkpointed(_line_lists(docs))
     shared = checkpointed(_shared_lines(lists, min_words))
+    dropped(lists)
     alike = ["s1", "s2"]
     placed = places(in_order(shared.select("id", "print", *alike), alike, ["id", "print"]), alike)
     shared = checkpointed(shared.drop(*alike).join(placed.select("id", "print", "place"), ["id", "print"]))
@@ -303,7 +305,9 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "anchor", "place", F.col("id").alias("id_there"), F.col("print").alias("print_there")
         )
         pairs = wanted.join(tried, ["anchor", "place"]).select("id", "print", "id_there", "print_there").distinct()
-        gone = checkpointed(_aligned(checkpointed(pairs), docs, min_words))
+        pairs = checkpointed(pairs)
+        gone = checkpointed(_aligned(pairs, docs, min_words))
+        dropped(pairs)
         found.append(gone)
         left = checkpointed(
             left.filter(F.col("place") > high)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import checkpointed
+from pagequarry.llm.common import checkpointed, dropped
 
 DEGREE = 32
 REVERSE = 24
@@ -260,7 +260,8 @@ def build(nodes: DataFrame, width: int, largest: float, n: int) -> tuple[DataFra
     graph = checkpointed(_merged(_start(packed, width, n), DEGREE))
     for _ in range(ROUNDS):
         met = _introduced(_adjacency(graph, packed), width)
-        graph = checkpointed(_merged(graph.union(met), DEGREE))
+        before, graph = graph, checkpointed(_merged(graph.union(met), DEGREE))
+        dropped(before)
     return graph, packed
 
 
@@ -351,7 +352,8 @@ def search(state: DataFrame, adjacent: DataFrame, width: int, pool: int) -> Data
     falls, so nothing comes back.
     """
     while not state.filter(F.exists("visited", lambda x: ~x)).isEmpty():
-        state = checkpointed(_advance(state, adjacent, width, pool))
+        before, state = state, checkpointed(_advance(state, adjacent, width, pool))
+        dropped(before)
     return state
 
 
@@ -402,6 +404,7 @@ def nearest(
     )
     state = search(checkpointed(state), adjacent, width, pool_size(about.n))
     adjacent.unpersist()
+    dropped(graph, packed)
     # Nodes to score on the original vectors, more than are asked for.
     found = state.select("query", F.explode(F.slice("ids", 1, RESCORED * k + 1)).alias("candidate"))
     ids = nodes.select(F.col("node").alias("candidate"), F.col("vector").alias("there"), "ids")

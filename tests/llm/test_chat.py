@@ -57,6 +57,20 @@ def test_odd_rows(spark):
     assert found(spark, []) == {}
 
 
+def test_rendering_runs_no_python_on_executors(spark, monkeypatch):
+    plans, checkpointed = [], op.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(op, "checkpointed", noted)
+    rendered = op.render(frame(spark, [(1, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", "y")]))
+    plans.append(rendered._jdf.queryExecution().toString())
+    assert len(plans) == 2
+    assert not any(x in plan for plan in plans for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_runs_no_python_on_executors(spark):
     plan = op.prefixes(frame(spark, [(1, 0, "user", "x")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

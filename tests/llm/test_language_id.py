@@ -43,6 +43,43 @@ def test_nothing_learned(table):
     assert op.identify(table([]), op.fit(docs)).count() == 0
 
 
+def brute_profile(text):
+    """The sum of the bound vectors of all trigrams, one after the other."""
+    letters = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+    codes = [ord(c) for c in f" {letters} "] if letters else []
+    total = np.zeros(op.DIMENSIONS)
+    vectors = {c: op._letter_vectors(np.array([c]))[0].astype(float) for c in set(codes)}
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        total += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+    return total
+
+
+def test_against_brute_force(spark, table):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "left(text, 300) AS text", "lang")
+    rows = [*map(tuple, docs.collect()), (900, "ΑΒΓ где ЖЁ", "xx"), (901, "12 !", "yy"), (902, None, "en"), (903, "no name", None)]
+    unit = {i: p / n if (n := np.linalg.norm(p := brute_profile(t))) else p for i, t, _ in rows}
+    prototypes = {}
+    for i, _, lang in rows:
+        if lang is not None:
+            prototypes[lang] = prototypes.get(lang, 0) + np.rint(unit[i] * op.GRID)
+    prototypes = {lang: p / np.linalg.norm(p) for lang, p in prototypes.items() if p.any()}
+    frame = table(rows)
+    found = op.identify(frame, op.fit(frame)).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        cosines = {lang: unit[row.doc_id] @ p for lang, p in prototypes.items()}
+        if unit[row.doc_id].any():
+            best = max(cosines, key=cosines.get)
+            assert row.lang_pred == best and abs(row.score - cosines[best]) < 1e-6
+        else:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
+def test_equal_cosines_go_to_the_first_name(table):
+    docs = table([(1, "the same text", "zz"), (2, "the same text", "aa"), (3, "the same text", None)])
+    assert {r.lang_pred for r in op.identify(docs, op.fit(docs)).collect()} == {"aa"}
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     found = QUERIES["op1_language_id"](spark, folder)
