@@ -26,8 +26,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -50,6 +50,8 @@ SPAN = 13
 # Windows of a block, unless one document has more.
 BLOCK = 1 << 20
 PER_BUCKET = 1 << 20
+# Text that is cut at a time, unless one row has more.
+BYTES = 1 << 22
 # Bytes of text for each window, at least as a rule.
 _BYTES_PER_WINDOW = 6
 _BASE = random_words(11, 1)[0] | np.uint64(1)
@@ -196,16 +198,32 @@ def intervals(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + span).tolist(), strict=True))
 
 
-def _may_be_in(ids: DataFrame) -> Callable[[str], Column]:
-    """A condition on a column that holds for all of ``ids``, and few others."""
-    table = ids.sparkSession.sparkContext.broadcast(bit_filter(ids))
+_STAYS, _BY_ID, _BY_WINDOW = range(3)
 
-    @F.pandas_udf("boolean")
-    def may_be_in(column: pd.Series) -> pd.Series:
-        key = column.to_numpy().view(np.uint64)
-        return pd.Series(bits_set(table.value, first_bit(key)) & bits_set(table.value, second_bit(key)))
 
-    return may_be_in
+def _ways(found: DataFrame, several: DataFrame) -> Callable[[str], Column]:
+    """Of a column of ids, how a row gets its windows: not, as none of ``found``, or by id or,
+    as one of ``several``, by window. Few others are taken for one of either."""
+    tables = found.sparkSession.sparkContext.broadcast([bit_filter(found), bit_filter(several)])
+
+    @F.arrow_udf("int")
+    def way(ids: pa.Array) -> pa.Array:
+        key = ids.to_numpy(zero_copy_only=False).view(np.uint64)
+        there = [bits_set(t, first_bit(key)) & bits_set(t, second_bit(key)) for t in tables.value]
+        return pa.array(np.where(there[0], np.where(there[1], _BY_WINDOW, _BY_ID), _STAYS).astype(np.int32))
+
+    return way
+
+
+def _runs(texts: pa.Array) -> Iterator[slice]:
+    """Rows whose texts are about ``BYTES`` long together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + BYTES, side="right")))
+        yield slice(at, end)
+        at = end
 
 
 def _of_each_row(rows: DataFrame, found: DataFrame, span: int) -> DataFrame:
@@ -258,24 +276,16 @@ def dedup_substrings(
     hashed = plain.select(F.col("__id").alias("id"), word_hashes(F.col("__text")).alias("hashes"))
     n_bytes = plain.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     found = checkpointed(repeated_windows(hashed, span, bucket_bits(n_bytes)))
-    may_repeat = _may_be_in(found.select("id"))
     several = plain.groupBy(F.col("__id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    may_have_several = _may_be_in(checkpointed(several))
-    affected = plain.filter(may_repeat("__id"))
-    affected = (
-        affected.filter(~may_have_several("__id"))
-        .join(
-            # No more windows than the document has.
-            found.filter(~may_have_several("id"))
-            .groupBy(F.col("id").alias("__found"))
-            .agg(F.flatten(F.collect_list("windows")).alias("__windows")),
-            F.col("__id") == F.col("__found"),
-            "left",
-        )
-        .drop("__found")
-        .unionByName(_of_each_row(affected.filter(may_have_several("__id")), found.filter(may_have_several("id")), span))
+    way = _ways(found.select("id"), several)
+    # No more windows than the document has.
+    of_ids = found.filter(way("id") == _BY_ID).groupBy(F.col("id").alias("__found")).agg(
+        F.flatten(F.collect_list("windows")).alias("__windows")
     )
-    others = plain.filter(~may_repeat("__id"))
+    by_id = plain.filter(way("__id") == _BY_ID).join(of_ids, F.col("__id") == F.col("__found"), "left").drop("__found")
+    by_window = _of_each_row(plain.filter(way("__id") == _BY_WINDOW), found.filter(way("id") == _BY_WINDOW), span)
+    affected = by_id.unionByName(by_window)
+    others = plain.filter(way("__id") == _STAYS)
     schema = StructType(
         [docs.schema[c] for c in columns]
         + [
@@ -286,8 +296,8 @@ def dedup_substrings(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            width = len(columns)
+        width = len(columns)
+        for batch in (whole.slice(r.start, r.stop - r.start) for whole in batches for r in _runs(whole.column(width))):
             hashes, offsets = flat_lists(batch.column(width + 1))
             n_words, removed, kept = [], [], []
             for i in range(batch.num_rows):
