@@ -12,8 +12,9 @@ the nearest it meets.
 Search. A query starts at its own node or, if it has none, at random ones; all queries
 advance together. In each step the nearest nodes not yet visited of each query are
 joined with their neighbours, until the nearest found, as many as ``pool_size`` says, are
-all visited. That number follows the number of nodes, so that the share of the vectors
-that is scored, on which recall depends, does not fall as the table grows.
+all visited. That number follows the root of the number of nodes, and so does what a query
+costs. The graph itself costs the same for each node at any size: it is good enough that a
+query finds most of its answer among the neighbours of its own node.
 
 Equal vectors are one node, which stands for as many of its smallest ids as an answer
 can hold, so a vector that a third of all rows hold is no crowd. An id given more than
@@ -24,6 +25,7 @@ part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,23 +35,23 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import checkpointed, dropped
 
-DEGREE = 32
-REVERSE = 24
+DEGREE = 40
+REVERSE = 40
 TABLES = 4
 CELL = 400
-ROUNDS = 4
-MEETINGS = 6
-POOL = 360
+ROUNDS = 6
+MEETINGS = 8
+# The least places of a pool, and places for each root of the number of nodes.
+POOL = 160
+PLACES_PER_ROOT = 0.75
 WIDTH = 48
-# Nodes for each place of a pool, from the size at which POOL no longer suffices.
-NODES_PER_PLACE = 140
 RESCORED = 3
 _PADDED = 256
 
 
 def pool_size(n: int) -> int:
     """How many of the nearest found each query keeps and visits among ``n`` nodes."""
-    return max(POOL, -(-n // NODES_PER_PLACE))
+    return max(POOL, math.ceil(PLACES_PER_ROOT * math.sqrt(n)))
 
 
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:

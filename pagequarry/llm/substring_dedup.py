@@ -44,6 +44,7 @@ from pagequarry.llm.common import (
     second_bit,
     window_starts,
     word_hashes,
+    words,
 )
 
 SPAN = 13
@@ -302,20 +303,20 @@ def dedup_substrings(
             n_words, removed, kept = [], [], []
             for i in range(batch.num_rows):
                 # Splits at the same six characters.
-                words = batch.column(width)[i].as_py().encode().split()
+                own_words = batch.column(width)[i].as_py().encode().split()
                 windows = batch.column(width + 2)[i]
                 spans: list[tuple[int, int]] = []
-                if windows.is_valid and len(words) >= span:
+                if windows.is_valid and len(own_words) >= span:
                     own = hashes[offsets[i] : offsets[i + 1]].view(np.uint64)
-                    mine = window_hashes(own, np.arange(len(words) - span + 1), span)
+                    mine = window_hashes(own, np.arange(len(own_words) - span + 1), span)
                     repeated = windows.values.to_numpy().view(np.uint64)
                     spans = intervals(np.flatnonzero(np.isin(mine, repeated)), span)
                 left, at = [], 0
                 for start, end in spans:
-                    left += words[at:start]
+                    left += own_words[at:start]
                     at = end
-                left += words[at:]
-                n_words.append(len(words))
+                left += own_words[at:]
+                n_words.append(len(own_words))
                 removed.append([{"start": a, "end": b} for a, b in spans])
                 kept.append(b" ".join(left).decode())
             made = [
@@ -329,10 +330,12 @@ def dedup_substrings(
     found_some = affected.select(
         *given, "__text", word_hashes(F.col("__text")).alias("__hashes"), "__windows"
     ).mapInArrow(cut, schema)
+    # Nothing goes, so that no text crosses to Python.
+    all_words = words(F.col("__text"))
     found_none = others.select(
         *given,
-        F.col("__text"),
-        F.array().cast("array<long>").alias("__hashes"),
-        F.lit(None).cast("array<long>").alias("__windows"),
-    ).mapInArrow(cut, schema)
+        F.size(all_words).cast("long").alias("n_words"),
+        F.array().cast(_REMOVED).alias("removed"),
+        F.array_join(all_words, " ").alias("kept"),
+    )
     return found_some.unionByName(found_none)

@@ -85,6 +85,6 @@ def test_search_goes_on_until_the_pool_is_visited(spark, monkeypatch):
     assert found.ids == [n - 1, n - 2, n - 3, n - 4] and all(found.visited)
 
 
-def test_the_pool_follows_the_number_of_nodes():
+def test_the_pool_follows_the_root_of_the_number_of_nodes():
     assert op.pool_size(100) == op.POOL
-    assert op.pool_size(3_000_000) >= 3_000_000 / op.NODES_PER_PLACE
+    assert op.pool_size(4_000_000) == 2 * op.pool_size(1_000_000) == 2000 * op.PLACES_PER_ROOT
