@@ -76,7 +76,7 @@ def dropped(*frames: DataFrame) -> None:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read again, and the folder, to be deleted."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
