@@ -100,6 +100,11 @@ def crc_remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % divisor
 
 
+def let_go() -> None:
+    """Give memory back when a task ends; its worker may wait long for the next one."""
+    pa.default_memory_pool().release_unused()
+
+
 def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column end to end, and where each row starts and ends."""
     offsets = column.offsets.to_numpy()

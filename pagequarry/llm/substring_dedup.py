@@ -38,6 +38,7 @@ from pagequarry.llm.common import (
     checkpointed,
     first_bit,
     flat_lists,
+    let_go,
     mixed,
     random_words,
     row_blocks,
@@ -49,7 +50,7 @@ from pagequarry.llm.common import (
 
 SPAN = 13
 # Windows of a block, unless one document has more.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PER_BUCKET = 1 << 20
 # Text that is cut at a time, unless one row has more.
 BYTES = 1 << 22
@@ -155,6 +156,7 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, bits: int = 8) -> DataFr
                     # as a frequent id would.
                     by_id = mixed(owner.view(np.uint64) ^ first[0]) >> np.uint64(64 - bits)
                     yield _rows(by_id + np.uint64(1 << bits), True, found, owner)
+        let_go()
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -325,6 +327,7 @@ def dedup_substrings(
                 pa.array(kept, pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=schema.names)
+        let_go()
 
     given = [F.col(f"`{c}`") for c in columns]
     found_some = affected.select(
