@@ -20,6 +20,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
+from struct import pack
 
 import pyarrow as pa
 import regex
@@ -34,6 +35,8 @@ KEPT_WORDS = 100_000
 LONGEST_KEPT = 64
 KEPT_PAIRS = 300_000
 NEVER = 1 << 40
+# Marks the last byte of a word.
+LAST = 1 << 8
 
 
 class Recent(dict):
@@ -133,19 +136,24 @@ class Encoder:
             whole = vocabulary[left + right]
             self.rank[pair] = rank
             self.built[whole], self.parts[whole] = rank, pair
+        alphabet = _byte_alphabet()
+        # A byte within a word stands for itself in the automaton, the last one is moved up by 256.
+        of_byte = {vocabulary[c]: byte for byte, c in enumerate(alphabet)}
+        of_byte |= {vocabulary[c + self.end]: LAST | byte for byte, c in enumerate(alphabet)}
         symbols: dict[int, tuple[int, ...]] = {}
         for token in sorted(vocabulary.values(), key=lambda t: self.built.get(t, -1)):
             parts = self.parts.get(token)
             if parts is None:
-                symbols[token] = (token,)
+                # What no byte stands for is met in no word.
+                symbols[token] = (of_byte.get(token, 2 * LAST + token),)
             elif all(p in symbols for p in parts) and self._apart(*parts, self.built[token]):
                 symbols[token] = symbols[parts[0]] + symbols[parts[1]]
             # else merging never arrives at this token
-        self.tokens = list(symbols)
         self.automaton = Automaton(list(symbols.values()))
-        alphabet = _byte_alphabet()
-        self.inner = [vocabulary[c] for c in alphabet]
-        self.final = [vocabulary[c + self.end] for c in alphabet]
+        tokens = list(symbols)
+        #: For each state, (length, token) of the tokens that end there, longest first.
+        self.ends = [tuple((length, tokens[number]) for length, number in ends) for ends in self.automaton.ends]
+        self.automaton.ends = []
         self.apart: dict[int, bool] = {}
         self.pieces = Recent(self._encode_piece)
         self.words = Recent(self._encode_word)
@@ -177,43 +185,44 @@ class Encoder:
 
     def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
-        symbols = [self.inner[x] for x in data[:-1]]
-        symbols.append(self.final[data[-1]])
         following, link, lengths = self.automaton.next, self.automaton.link, self.automaton.length
-        ends, tokens, apart = self.automaton.ends, self.tokens, self.apart
-        last: list[int] = [0]
-        back: list[int] = [0]
-        state = matched = 0
-        for i, symbol in enumerate(symbols):
+        all_ends, apart = self.ends, self.apart
+        # The last token of each prefix, and the length of the prefix in front of it.
+        last, back = [0], [0]
+        state = matched = at = 0
+        for symbol in (*data[:-1], data[-1] | LAST):
+            at += 1
             to = following[state].get(symbol)
-            while to is None:
-                state = link[state]
+            if to is None:
+                while to is None:
+                    state = link[state]
+                    to = following[state].get(symbol)
                 matched = lengths[state]
-                to = following[state].get(symbol)
             state = to
             matched += 1
-            for length, number in ends[state]:
+            for length, token in all_ends[state]:
                 if length > matched:
                     continue
-                token, start = tokens[number], i + 1 - length
+                start = at - length
                 if start:
-                    key = last[start] << 20 | token
+                    before = last[start]
+                    key = before << 20 | token
                     fits = apart.get(key)
                     if fits is None:
                         if len(apart) >= KEPT_PAIRS:
                             apart.clear()
-                        fits = apart[key] = self._apart(last[start], token)
+                        fits = apart[key] = self._apart(before, token)
                     if not fits:
                         continue
                 last.append(token)
                 back.append(start)
                 break
         ids = []
-        at = len(symbols)
         while at:
             ids.append(last[at])
             at = back[at]
-        return b"".join(i.to_bytes(4, "little") for i in reversed(ids))
+        ids.reverse()
+        return pack(f"<{len(ids)}I", *ids)
 
     def _encode_word(self, word: str) -> bytes:
         if not word.isascii():

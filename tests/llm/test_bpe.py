@@ -66,3 +66,15 @@ def test_odd_rows(table, odd_rows):
     assert op.encode(table([]), PATH).count() == 0
     # A column that is already there is replaced.
     assert op.encode(docs, PATH, output="node").columns == [c for c in docs.columns if c != "node"] + ["node"]
+
+
+def test_the_automaton_reads_bytes_and_names_tokens(library):
+    # What a word costs is a step per byte; nothing is translated on the way in or out.
+    encoder = op.encoder(PATH)
+    for word in ("the", "because", "café"):
+        state = 0
+        data = word.encode()
+        for symbol in (*data[:-1], data[-1] | op.LAST):
+            state = encoder.automaton.next[state][symbol]
+        ids = library.encode(word, add_special_tokens=False).ids
+        assert len(ids) == 1 and encoder.ends[state][0] == (len(data), ids[0])
