@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import checkpointed, dropped
+from pagequarry.llm.common import checkpointed_small, dropped
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -14,14 +14,14 @@ def _least(links: DataFrame) -> DataFrame:
     It is found before the shuffle for the most part. It is a table of its own, so that
     adaptive execution can split the links of a node with very many when they join it.
     """
-    return checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
+    return checkpointed_small(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest of its neighbours and itself."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = _least(both)
-    tied = checkpointed(
+    tied = checkpointed_small(
         both.filter("b > a").join(least, F.col("a") == F.col("node"))
         .select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
     )
@@ -35,7 +35,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     tied = links.join(least, F.col("a") == F.col("node")).select(
         F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")
     )
-    tied = checkpointed(tied.filter("a != b").distinct())
+    tied = checkpointed_small(tied.filter("a != b").distinct())
     dropped(least)
     return tied
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pagequarry.llm.common import (
     bit_filter,
     bits_set,
+    checkpointed_small,
     first_bit,
     flat_lists,
     folded_hashes,
@@ -127,7 +128,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` has (id, text) and ``items`` (item, text). ``items`` of the result lists the
     items, ``starts`` the words of the document at which an overlapping window begins.
     """
-    seeds = _item_seeds(items.select("item", folded_hashes(F.col("text")).alias("hashes")))
+    # A table of its own: a filter made of it in the same tasks takes a second Python worker for each.
+    seeds = checkpointed_small(_item_seeds(items.select("item", folded_hashes(F.col("text")).alias("hashes"))))
     filter_bytes = docs.sparkSession.sparkContext.broadcast(bit_filter(seeds.select("seed")))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,7 @@ from pagequarry.llm.common import (
     bit_filter,
     bits_set,
     checkpointed,
+    checkpointed_small,
     dropped,
     first_bit,
     flat_lists,
@@ -305,11 +306,11 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "anchor", "place", F.col("id").alias("id_there"), F.col("print").alias("print_there")
         )
         pairs = wanted.join(tried, ["anchor", "place"]).select("id", "print", "id_there", "print_there").distinct()
-        pairs = checkpointed(pairs)
-        gone = checkpointed(_aligned(pairs, docs, min_words))
+        pairs = checkpointed_small(pairs)
+        gone = checkpointed_small(_aligned(pairs, docs, min_words))
         dropped(pairs)
         found.append(gone)
-        left = checkpointed(
+        left = checkpointed_small(
             left.filter(F.col("place") > high)
             .join(gone, ["id", "print"], "left")
             .withColumn("positions", F.array_except("positions", F.coalesce("removed", F.array().cast("array<int>"))))

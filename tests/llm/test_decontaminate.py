@@ -67,3 +67,17 @@ def test_odd_rows(table, odd_rows, spark):
     assert {(r.id, tuple(r["items"])) for r in found} == {(i, (0, None)) for i in (1, 3, None)}
     assert op.decontaminate(docs, bench.limit(0)).count() == len(odd_rows)
     assert op.decontaminate(table([]), bench).count() == 0
+
+
+def test_the_filter_is_made_without_the_seeds_being_cut_again(spark, monkeypatch):
+    plans, bit_filter = [], op.bit_filter
+
+    def noted(keys):
+        plans.append(keys._jdf.queryExecution().executedPlan().toString())
+        return bit_filter(keys)
+
+    monkeypatch.setattr(op, "bit_filter", noted)
+    docs = spark.createDataFrame([(1, " ".join(WORDS))], "id long, text string")
+    items = spark.createDataFrame([(7, " ".join(WORDS))], "item long, text string")
+    assert [r["items"] for r in op.overlaps(docs, items).collect()] == [[7]]
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
