@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from pagequarry.llm.common import let_go
+
 _SPACE = regex.compile(r"\p{White_Space}+")
 # These split str.split(), but are no white space to the tokenizer.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -301,16 +303,20 @@ def _mapped(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         functions = [make() for make in steps.values()]
-        for batch in batches:
+
+        def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns = list(batch.columns)
             for function, kind in zip(functions, kinds, strict=True):
                 arrow = pa.binary() if isinstance(kind, BinaryType) else pa.string()
                 # A value at a time, so that only the results of a batch are held.
                 columns.append(pa.array((function(x.as_py()) for x in columns[-1]), arrow))
             del columns[len(kept)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        # The worker may go on to other work.
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        yield from map(extended, batches)
+        # The worker may go on to other work, or wait while others need the memory.
         forget()
+        let_go(small=True)
 
     return table.select(
         *(F.col(f"`{c}`") for c in kept), F.col(f"`{source}`").alias("__source")

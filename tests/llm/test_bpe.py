@@ -1,7 +1,10 @@
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -78,3 +81,28 @@ def test_the_automaton_reads_bytes_and_names_tokens(library):
             state = encoder.automaton.next[state][symbol]
         ids = library.encode(word, add_special_tokens=False).ids
         assert len(ids) == 1 and encoder.ends[state][0] == (len(data), ids[0])
+
+
+def test_workers_give_memory_back(spark):
+    # A worker waits for other work; what it held of a large batch must not stay with it.
+    def look(batches):
+        used = re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read())
+        # Long enough for all that wait to be asked.
+        time.sleep(0.5)
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [sum(map(int, used)) / 1024]})
+
+    def most():
+        n = spark.sparkContext.defaultParallelism
+        return max(r.mb for r in spark.range(0, n, 1, n).mapInArrow(look, "mb double").collect())
+
+    def encoded(n):
+        rng = random.Random(6)
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 12))) for _ in range(5000)]
+        docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=700))) for i in range(n)], "doc_id long, text string")
+        op.encode_and_decode(docs.coalesce(1), PATH).write.format("noop").mode("overwrite").save()
+
+    encoded(1)
+    few = most()
+    encoded(4000)
+    assert most() < few + 60
